@@ -124,9 +124,10 @@ class Guards:
         else:
             names = df.columns
             work, columns = self._bound(df, x, late or {})
-            for k, c in columns.items():
-                work = work.withColumn(f"_late_{k}", c)
-            fixed = _correct.correct(work, self.root, x, p, {k: f"_late_{k}" for k in columns}, out=out).select(*names, out)
+            wanted = sorted(self.root.late() - {"$x", "$X"})
+            for i, k in enumerate(wanted):
+                work = work.withColumn(f"_late{i}", columns[k])
+            fixed = _correct.correct(work, self.root, x, p, {k: f"_late{i}" for i, k in enumerate(wanted)}, out=out).select(*names, out)
         return fixed.withColumn(out, F.col(out).alias(out, metadata={META: self.get_config()}))
 
     def _replace(self, df: DataFrame, x: str, p: str, late: Mapping[str, Any], index: Sequence[str], by: Sequence[str], shape: Sequence[int] | None, out: str) -> DataFrame:
@@ -143,10 +144,12 @@ class Guards:
                 span = range(-max(a, b), max(a, b) + 1)
                 near = near.withColumn("_d", F.explode(F.array(*[F.lit(s) for s in span]))).withColumn(index[k], (F.col(index[k]) + F.col("_d")).cast(df.schema[index[k]].dataType)).drop("_d")
             near = near.distinct().withColumn("_hit", F.lit(True))
-            if shape is not None or any(a.border in ("wrap",) for a in _axes(self.root)):
-                near = _everywhere(near, by) if any(a.border == "wrap" for a in _axes(self.root)) else near
+            if any(a.border == "wrap" for a in _axes(self.root)):
+                near = _everywhere(near, by)
             keys = [c for c in (*by, *index) if c in near.columns]
-            now = now.join(near, keys, "left").withColumn("_hat", F.when(F.col("_hit"), F.col(x)).otherwise(F.col("_hat"))).select(*df.columns, "_hat").checkpoint()
+            joined = now.join(near, keys, "left") if keys else now.crossJoin(F.broadcast(near))  # one row without keys
+            now = joined.withColumn("_hat", F.when(F.col("_hit"), F.col(x)).otherwise(F.col("_hat"))).select(*df.columns, "_hat")
+            now = settled(now)
         pair = now.select("*")
         schema = df.withColumn(out, F.lit(0).cast("long")).schema
 
@@ -165,6 +168,17 @@ class Guards:
         return qoi.evaluate(qoi.parse(text), SPARK, lambda at: F.col(x), lambda name, at: F.col(x) if name == "$x" else late[name])
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the folder that spark.checkpoint.dir names; sets one of its own only in local mode."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or "/tmp/tolera-checkpoints")
+    return df.checkpoint()
+
+
 def _axes(g: Guard) -> list:
     if isinstance(g, Stencil):
         return list(g.neighbourhood)
