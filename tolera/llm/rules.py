@@ -197,4 +197,8 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that ``judge`` keeps, with their columns; decided row by row, so texts aren't shuffled."""
     model = fit(votes(features(docs.select("text"))).select("_v"))
-    return votes(features(docs)).where(~base_failed() & (posterior(model) >= threshold)).drop("_q", "_v")
+    good = ~base_failed() & (posterior(model) >= threshold)
+    # The condition must not move below the projections, where each of its many votes would count the text anew; an
+    # expression that isn't deterministic stays where it is.
+    once = F.when(F.monotonically_increasing_id() >= 0, good)
+    return votes(features(docs)).withColumn("_keep", once).where("_keep").drop("_q", "_v", "_keep")
