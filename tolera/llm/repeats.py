@@ -10,7 +10,8 @@ one document.  A window is *late* if its symbols also start earlier: in a docume
 3. For those seeds only, each bucket sends what surrounds them.  Equal surroundings in a bucket travel once,
    with the smallest place, so copies by the thousand add one entry per bucket to a part, not one each.
 4. Each part extends every shared seed to all windows that chose it and finds the smallest place of each;
-   its answer is a bit mask of late windows per entry.
+   its answer is a bit mask of late windows per entry.  For bytes, the surroundings that the buckets (shards) sent
+   are merged like Burrows-Wheeler transforms, by refining their interleave one column at a time.
 5. Buckets merge late windows into maximal repeated intervals.
 
 Documents meet their answers in a cogroup by bucket; nothing is gathered on the driver, no pairs are emitted.
@@ -248,6 +249,45 @@ def send_entries(spec: Spec, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]
     return run
 
 
+def interleaves(text: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(column, rows in the order of their suffixes from that column on), from the last column to the first.
+
+    The rows are the aligned strings of all shards, shard after shard.  Before the first step nothing of a suffix is
+    known, and the interleave lays the shards end to end.  A step reads the Burrows-Wheeler column, that is, the
+    symbols that precede the suffixes in their present order, and deals the interleave out by it, stably: one counting
+    pass refines the merged order by a symbol, and no suffixes are compared or sorted."""
+    order = np.arange(len(text))
+    columns = np.ascontiguousarray(text.T)
+    for p in range(len(columns) - 1, -1, -1):
+        order = order[np.argsort(columns[p][order], kind="stable")]
+        yield p, order
+
+
+def _by_bytes(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(r, entries with a window at r in the merged order of suffixes, hashes of their windows).
+
+    In that order the suffixes with a common prefix of ``width`` bytes are an interval; a rolling hash of the prefix
+    tells where one ends."""
+    rolling = np.zeros(len(text), np.uint64)
+    code, base, out_of = C.BYTE_CODE, np.uint64(C.BASE), C.powers(width + 1, C.BASE)[width]
+    with np.errstate(over="ignore"):
+        for p, order in interleaves(text):
+            rolling = code[text[:, p]] + base * rolling
+            if p + width < text.shape[1]:
+                rolling -= out_of * code[text[:, p + width]]
+            if (r := p - reach) <= 0:
+                x = order[(lo[order] <= r) & (hi[order] >= r)]
+                yield r, x, rolling[x]
+
+
+def _by_words(text: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for r in range(-reach, 1):
+        x = np.flatnonzero((lo <= r) & (hi >= r))
+        h = C.mix(text[x, r + reach] ^ C.mix(key[x], 2))
+        order = np.argsort(h, kind="stable")
+        yield r, x[order], h[order]
+
+
 def find_late(spec: Spec) -> Callable[[pa.Table], pa.Table]:
     """Extends every seed of a part to its windows; answers with the late windows of each entry."""
     reach = spec.choices - 1
@@ -264,28 +304,14 @@ def find_late(spec: Spec) -> Callable[[pa.Table], pa.Table]:
         rank = np.empty(len(key), np.int64)
         rank[by] = np.cumsum(new)
         late = np.zeros(len(key), np.uint64)
-        total = None
-        if not spec.words:
-            total = np.zeros((text.shape[1] + 1, len(key)), np.uint64)
-            pw = C.powers(text.shape[1], C.BASE)
-            with np.errstate(over="ignore"):
-                for j in range(text.shape[1]):
-                    total[j + 1] = total[j] + C.BYTE_CODE[text[:, j]] * pw[j]
-        for r in range(-reach, 1):
-            x = np.flatnonzero((lo <= r) & (hi >= r))
+        # Words: the hash of a window comes with its entry.  Bytes: the merged order of the shards' suffixes.
+        for r, x, h in _by_words(text, key, lo, hi, reach) if spec.words else _by_bytes(text, lo, hi, spec.width, reach):
             if len(x) < 2:
                 continue
-            j = r + reach
-            with np.errstate(over="ignore"):
-                # the place of r is the same in all, so the power of the first column need not be divided out
-                h = text[x, j] if spec.words else C.mix(total[j + spec.width, x] - total[j, x])
-                h = C.mix(h ^ C.mix(key[x], 2))
-            order = np.argsort(h, kind="stable")
-            g = h[order]
-            head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-            ranks = rank[x][order]
-            least = np.repeat(np.minimum.reduceat(ranks, head), np.diff(np.concatenate((head, [len(g)]))))
-            late[x[order[ranks > least]]] |= np.uint64(1 << j)
+            head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            ranks = rank[x]
+            least = np.repeat(np.minimum.reduceat(ranks, head), np.diff(np.concatenate((head, [len(h)]))))
+            late[x[ranks > least]] |= np.uint64(1 << (r + reach))
         out, a = [], 0
         for b, d in zip(buckets, data, strict=True):
             out.append((b, C.pack(late[a : a + len(d[0])])))
