@@ -139,7 +139,7 @@ def expect(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 80) -> Mod
     total = sum(n for _, n in patterns)
     usual, own, other = 0.002, 0.97, 0.1
     first = [[usual] * m] + [[own if i == c else other for i in range(m)] for c in range(m)]
-    weight = [0.1 * total + 10] + [0.005 * total + 10] * m
+    weight = [1.0 * total + 10] + [0.005 * total + 10] * m
     share, table = [0.8] + [0.2 / m] * m, [row[:] for row in first]
     for _ in range(rounds):
         size = [1.0] * (m + 1)
