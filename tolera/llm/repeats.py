@@ -32,6 +32,8 @@ from tolera.llm import common as C
 #: Positions take the low bits of a packed (hash, position) value.
 POS_BITS = 24
 _POS = np.uint64((1 << POS_BITS) - 1)
+#: Symbols that are worked on at once, so that arrays stay in the cache.
+PIECE = 1 << 18
 PACKET = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 PACKET_DDL = "part int, bucket int, kind int, data binary"
 
@@ -53,15 +55,20 @@ class Spec:
 
 @dataclass
 class Runs:
-    """Runs of windows that chose one seed: document, first symbol of the seed in it, first and last
-    window start relative to the seed (<= 0), seed key, surroundings."""
+    """Runs of windows that chose one seed: document, first symbol of the seed in it and in ``values``, first and
+    last window start relative to the seed (<= 0), seed key, hash of all the symbols that the windows cover."""
 
     doc: np.ndarray
     at: np.ndarray
+    source: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
     key: np.ndarray
-    around: np.ndarray
+    digest: np.ndarray
+    values: np.ndarray
+
+    def only(self, x: np.ndarray) -> Runs:
+        return Runs(*[a[x] for a in (self.doc, self.at, self.source, self.lo, self.hi, self.key, self.digest)], self.values)
 
 
 def symbols(texts: list[bytes], spec: Spec) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -70,7 +77,7 @@ def symbols(texts: list[bytes], spec: Spec) -> Iterator[tuple[np.ndarray, np.nda
     A document of more than 2**23 symbols comes in pieces that share width - 1 symbols, so that every window
     lies in exactly one piece."""
     most = 1 << (POS_BITS - 1)
-    for a, b in C.chunks(texts):
+    for a, b in C.chunks(texts, PIECE):
         buf = np.frombuffer(b"\n".join(texts[a:b]), np.uint8)
         sizes = np.fromiter((len(t) for t in texts[a:b]), np.int64, b - a)
         begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
@@ -91,19 +98,16 @@ def symbols(texts: list[bytes], spec: Spec) -> Iterator[tuple[np.ndarray, np.nda
             yield values[at:to], doc[at:to], place[at:to]
 
 
-def runs(values: np.ndarray, doc: np.ndarray, place: np.ndarray, spec: Spec, around: bool) -> Runs | None:
+def runs(values: np.ndarray, doc: np.ndarray, place: np.ndarray, spec: Spec, digests: bool) -> Runs | None:
     n = len(values) - spec.width + 1
     if n <= 0:
         return None
     if spec.words:
         seeds = C.window_hash(values, spec.seed)
-        whole = C.window_hash(values, spec.width) if around else None
     else:
-        eight = np.zeros(len(values) - 7, np.uint64)
-        for j in range(8):
-            eight |= values[j : len(values) - 7 + j].astype(np.uint64) << np.uint64(8 * j)
+        eight = np.ndarray(len(values) - 7, np.uint64, np.ascontiguousarray(values), strides=(1,)).copy()
         with np.errstate(over="ignore"):
-            seeds = C.mix(C.mix(eight[: len(values) - 15]) * np.uint64(C.BASE) + eight[8:])  # 16 bytes
+            seeds = C.mix(eight[:-8] * np.uint64(C.BASE) + eight[8:] * np.uint64(0xD6E8FEB86659FD93))  # 16 bytes
     packed = (seeds & ~_POS) | np.arange(len(seeds), dtype=np.uint64)
     chosen = (C.sliding_min(packed, spec.choices) & _POS).astype(np.int64)
     valid = (doc[:n] == doc[spec.width - 1 :]) & (doc[:n] >= 0)
@@ -114,17 +118,20 @@ def runs(values: np.ndarray, doc: np.ndarray, place: np.ndarray, spec: Spec, aro
     c, d = chosen[s], doc[s]
     head = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (d[1:] != d[:-1]) | (np.diff(s) != 1))))
     tail = np.concatenate((head[1:], [len(s)])) - 1
-    at = c[head]
-    out = Runs(d[head], place[at], s[head] - at, s[tail] - at, C.mix(seeds[at], 1), np.zeros((0, 0)))
-    if around:
-        out.around = whole if spec.words else values
-        out.source = at  # type: ignore[attr-defined]
-    return out
+    at, first, last = c[head], s[head], s[tail]
+    digest = np.zeros(0, np.uint64)
+    if digests:
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum((values if spec.words else C.BYTE_CODE[values]) * C.powers(len(values), C.BASE), out=total[1:])
+            covered = (total[last + spec.width] - total[first]) * C.powers(len(values), C.BASE_INV)[first]
+            digest = C.mix(covered ^ C.mix(((first - at) * 256 + last - at).astype(np.uint64), 3))
+    return Runs(d[head].astype(np.int32), place[at], at, (first - at).astype(np.int8), (last - at).astype(np.int8), C.mix(seeds[at], 1), digest, values)
 
 
-def _bucket(texts: list[bytes], spec: Spec, around: bool) -> Iterator[Runs]:
+def _bucket(texts: list[bytes], spec: Spec, digests: bool) -> Iterator[Runs]:
     for piece in symbols(texts, spec):
-        if (r := runs(*piece, spec, around)) is not None:
+        if (r := runs(*piece, spec, digests)) is not None:
             yield r
 
 
@@ -173,20 +180,22 @@ class Entries:
     """The shared seeds of a bucket; equal surroundings are one entry with the smallest place."""
 
     def __init__(self, ids: list, texts: list[bytes], shared: dict[int, np.ndarray], spec: Spec, n: int):
-        wanted = self._wanted(texts, shared, spec, n)
-        doc, at, lo, hi, key, text = [], [], [], [], [], []
-        for r in _bucket(texts, spec, True):
-            x = np.flatnonzero(np.isin(r.key, wanted, kind="sort")) if len(wanted) else np.zeros(0, np.int64)
-            doc.append(r.doc[x]), at.append(r.at[x]), lo.append(r.lo[x]), hi.append(r.hi[x]), key.append(r.key[x])
-            text.append(self._around(r, x, spec))
-        join = lambda a, t: np.concatenate(a).astype(t) if a else np.zeros(0, t)
-        self.doc, self.at, self.lo, self.hi, self.key = join(doc, np.int64), join(at, np.int64), join(lo, np.int8), join(hi, np.int8), join(key, np.uint64)
-        wide = spec.choices if spec.words else 2 * spec.choices + spec.seed - 2
-        self.text = np.concatenate(text) if text else np.zeros((0, wide), np.uint64 if spec.words else np.uint8)
+        pieces = list(_bucket(texts, spec, True))
+        keys, at = np.unique(np.concatenate([r.key for r in pieces]) if pieces else np.zeros(0, np.uint64), return_inverse=True)
+        wanted = np.zeros(len(keys), bool)
+        for p, x in C.deal(C.part_of(keys, n), n):
+            if p in shared:
+                wanted[x] = shared[p][: x.stop - x.start]
+        wanted = wanted[at]
+        self.pieces, begin = [], 0
+        for r in pieces:
+            self.pieces.append(r.only(np.flatnonzero(wanted[begin : begin + len(r.key)])))
+            begin += len(r.key)
+        join = lambda name, t: np.concatenate([getattr(r, name) for r in self.pieces]).astype(t) if self.pieces else np.zeros(0, t)
+        self.doc, self.at, self.lo, self.hi, self.key, digest = (join(*a) for a in (("doc", np.int64), ("at", np.int64), ("lo", np.int8), ("hi", np.int8), ("key", np.uint64), ("digest", np.uint64)))
         number = np.array([-(2**63) if i is None else i for i in ids], np.int64)
         self.place = number[self.doc] if len(self.doc) else np.zeros(0, np.int64)
         # One row stands for all that are alike: part first, so that a part's entries are in one slice.
-        digest = self._digest(spec)
         order = np.lexsort((self.at, self.place, digest, self.key))
         k, g = self.key[order], digest[order]
         head = np.concatenate(([True], (k[1:] != k[:-1]) | (g[1:] != g[:-1]))) if len(order) else np.zeros(0, bool)
@@ -195,32 +204,23 @@ class Entries:
         self.lead = order[head]
         self.part = C.part_of(self.key[self.lead], n)
 
-    @staticmethod
-    def _wanted(texts: list[bytes], shared: dict[int, np.ndarray], spec: Spec, n: int) -> np.ndarray:
-        keys, _ = _keys(texts, spec)
-        out = [keys[x][shared[p][: x.stop - x.start]] for p, x in C.deal(C.part_of(keys, n), n) if p in shared]
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-    @staticmethod
-    def _around(r: Runs, x: np.ndarray, spec: Spec) -> np.ndarray:
-        """Words: the hashes of the windows at -(choices-1) .. 0.  Bytes: the bytes that those windows cover.
-        What no window of the run needs is zero."""
+    def around(self, spec: Spec) -> np.ndarray:
+        """Of each lead.  Words: the hashes of the windows at -(choices-1) .. 0.  Bytes: the bytes that those windows
+        cover.  What no window of the run needs is zero."""
         reach = spec.choices - 1
         wide = spec.choices if spec.words else 2 * reach + spec.seed
-        col = np.arange(-reach, wide - reach)
-        at = r.source[x][:, None] + col[None, :]  # type: ignore[attr-defined]
-        lo, hi = r.lo[x][:, None], r.hi[x][:, None]
-        need = (col >= lo) & (col <= (hi if spec.words else hi + spec.width - 1))
-        return np.where(need, r.around[np.clip(at, 0, len(r.around) - 1)], r.around.dtype.type(0))
-
-    def _digest(self, spec: Spec) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            h = C.mix((self.lo.astype(np.int64) * 256 + self.hi).astype(np.uint64), 3)
-            for j in range(self.text.shape[1]):
-                v = self.text[:, j]
-                h = (h ^ (v if spec.words else C.BYTE_CODE[v])) * np.uint64(C.BASE)
-                h ^= h >> np.uint64(29)
-            return C.mix(h)
+        out = np.zeros((len(self.lead), wide), np.uint64 if spec.words else np.uint8)
+        col, begin = np.arange(-reach, wide - reach), 0
+        for r in self.pieces:
+            own = np.flatnonzero((self.lead >= begin) & (self.lead < begin + len(r.key)))
+            if len(own):
+                x = self.lead[own] - begin
+                values = C.window_hash(r.values, spec.width) if spec.words else r.values
+                lo, hi = r.lo[x][:, None].astype(np.int64), r.hi[x][:, None].astype(np.int64)
+                need = (col >= lo) & (col <= (hi if spec.words else hi + spec.width - 1))
+                out[own] = np.where(need, values[np.clip(r.source[x][:, None] + col, 0, len(values) - 1)], values.dtype.type(0))
+            begin += len(r.key)
+        return out
 
 
 def _shared(packets: pa.Table, kind: int) -> dict[int, list[np.ndarray]]:
@@ -240,10 +240,10 @@ def send_entries(spec: Spec, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]
             return PACKET.empty_table()
         bucket = docs.column("bucket")[0].as_py()
         e = Entries(*C.in_order(docs), _bits(packets), spec, n)
-        sent = []
+        text, sent = e.around(spec), []
         for p, x in C.deal(e.part, n):
             i = e.lead[x]
-            sent.append((p, C.pack(e.key[i], e.lo[i], e.hi[i], e.place[i], e.at[i], e.text[i].ravel())))
+            sent.append((p, C.pack(e.key[i], e.lo[i], e.hi[i], e.place[i], e.at[i], text[x].ravel())))
         return C.rows(PACKET, [p for p, _ in sent], [bucket] * len(sent), [2] * len(sent), [z for _, z in sent])
 
     return run
