@@ -30,6 +30,8 @@ from tolera.llm import common as C
 FOLDS, HELD = 7, 2
 #: Counts up to K are discounted.
 K = 5
+#: Bytes of text that are cut into words at once.
+PIECE = 1 << 18
 START, END, WHOLE = (C.mix(np.array([x], np.uint64), 99)[0] for x in (1, 2, 3))
 LOW48 = np.uint64((1 << 48) - 1)
 PACKET = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -77,21 +79,21 @@ class Unigram:
 
 
 def tokens(ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, context, document, trained on) of a bucket, in text order; ends included."""
-    word, ctx, doc, train = [], [], [], []
+    """(token, whether it is its text's first, document, trained on) of a bucket, in text order; ends included."""
+    word, first, doc, train = [], [], [], []
     learn = np.array([not held_out(i) for i in ids], bool)
-    for a, z in C.chunks(texts):
+    for a, z in C.chunks(texts, PIECE):
         begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[a:z]])[:-1])).astype(np.int64)
         starts, _, h = C.words_of(np.frombuffer(b"\n".join(texts[a:z]), np.uint8), lower=True)
         d = np.searchsorted(begin, starts, "right") - 1
         count = np.bincount(d, minlength=z - a)
         out = np.full(len(h) + z - a, END, np.uint64)
         out[np.arange(len(h)) + d] = h
-        owner = np.repeat(np.arange(a, z), count + 1)
-        before = np.concatenate(([START], out[:-1])).astype(np.uint64)
-        before[np.cumsum(count + 1) - count - 1] = START
-        word.append(out), ctx.append(before), doc.append(owner), train.append(learn[owner])
-    return tuple(np.concatenate(x) for x in (word, ctx, doc, train))  # type: ignore[return-value]
+        owner = np.repeat(np.arange(a, z, dtype=np.int32), count + 1)
+        start = np.zeros(len(out), bool)
+        start[np.cumsum(count + 1) - count - 1] = True
+        word.append(out), first.append(start), doc.append(owner), train.append(learn[owner])
+    return tuple(np.concatenate(x) for x in (word, first, doc, train))  # type: ignore[return-value]
 
 
 def _packets(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -189,26 +191,26 @@ class Bucket:
     """A bucket's tokens, its distinct words with their counts in the corpus, its distinct pairs in part order."""
 
     def __init__(self, ids: list, texts: list[bytes], packets: pa.Table, model: Unigram, n: int):
-        word, ctx, self.doc, train = tokens(ids, texts)
+        word, starts, self.doc, train = tokens(ids, texts)
         self.keys, _, self.word = _word_counts(word, train)
+        self.word = self.word.astype(np.int32)
+        del word
         answers = _of_kind(packets, COUNTS)
         self.count = np.concatenate([answers[p][0] for p in sorted(answers)]).astype(np.int64)
-        starts = ctx == START
         context = np.concatenate(([0], self.word[:-1]))
         context[starts] = len(self.keys)  # the start is no word
         every = np.append(self.keys, START)
         # a start is followed by a token in every training text, as often as there are ends
         at = np.searchsorted(self.keys, END)
         self.seen = np.append(self.count, self.count[at] if at < len(self.keys) and self.keys[at] == END else 0)
-        pair = context.astype(np.int64) * len(self.keys) + self.word
-        uniq, self.pair = np.unique(pair, return_inverse=True)
+        uniq, self.pair = np.unique(context.astype(np.int64) * len(self.keys) + self.word, return_inverse=True)
         local = np.bincount(self.pair, weights=train, minlength=len(uniq)).astype(np.uint32)
         u, w = uniq // len(self.keys), uniq % len(self.keys)
         hot = self.seen[u] > max(1000, model.n // (4 * n))
         part = C.part_of(np.where(hot, C.mix(every[u] ^ C.mix(self.keys[w], 5), 6), C.mix(every[u], 7)), n)
         order = np.lexsort((self.keys[w], every[u], part))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.pair = rank[self.pair]
         self.u, self.w, self.local, self.hot, self.part = u[order], w[order], local[order], hot[order], part[order]
         self.every = every
