@@ -178,6 +178,68 @@ def test_similar_finds_near_copies_and_leaves_others(spark):
     assert all(c == i for i, c in got.items() if i not in near)
 
 
+def shingles(text):
+    w = WORD.findall(lower(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_is_jaccard_of_five_word_shingles(spark):
+    """Pairs on both sides of 0.8, up to it exactly, against brute force; unequal lengths, repeats and chains too."""
+    r = random.Random(8)
+    docs = []
+    for i in range(240):
+        w = [f"w{r.randrange(9000)}" for _ in range(4 + 9 * r.randint(7, 44))]
+        total = len(w) - 4
+        v = list(w)
+        if i % 3 == 0:  # v starts as w and goes on otherwise: common / (common + 2 * other)
+            other = round(total * r.choice([1 / 9, 1 / 9, 0.09, 0.1, 0.13, 0.14, 0.15]))
+            v[len(v) - other :] = [f"x{r.randrange(9000)}" for _ in range(other)]
+        elif i % 3 == 1:  # v is the first part of w
+            v = v[: 4 + round(total * r.uniform(0.74, 0.86))]
+        else:  # repeats do not count
+            v = v[: 4 + round(total * r.uniform(0.75, 0.85))] + v[:5] * 40
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    base = [f"c{k}" for k in range(204)]
+    docs += [(1000 + k, " ".join([f"d{k}_{j}" for j in range(12 * k)] + base[12 * k :])) for k in range(6)]  # a chain
+    sets = {i: shingles(t) for i, t in docs}
+    parent = {i: i for i in sets}
+    links = []
+    for k, (a, _) in enumerate(docs):
+        for b, _ in docs[:k]:
+            common = len(sets[a] & sets[b])
+            if common and 5 * common >= 4 * len(sets[a] | sets[b]):
+                links.append((a, b))
+    assert sum(5 * len(sets[a] & sets[b]) == 4 * len(sets[a] | sets[b]) for a, b in links) >= 5 and 60 < len(links) < 220
+    for _ in links:
+        for a, b in links:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    got = {k: v["component_id"] for k, v in by_id(simhash.similar(frame(spark, docs))).items()}
+    wrong = [i for i in got if got[i] != parent[i]]
+    assert len(wrong) <= 1 and all(got[i] == i for i in wrong)  # nothing below 0.8 is linked; recall 0.999 a pair
+
+
+def test_similar_links_crowds_of_one_template(spark):
+    """Many texts near one template, most pairs below 0.8: as brute force says, and no pairs are sent for the crowd."""
+    r = random.Random(4)
+    base = [f"t{k}" for k in range(84)]
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for k in r.sample(range(84), r.choice([1, 2, 3, 3])):
+            w[k] = f"own{i}_{k}"
+        docs.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in docs}
+    pairs = [(a, b) for a in sets for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    parent = {i: i for i in sets}
+    for _ in range(20):
+        for a, b in pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert 10 < len(set(parent.values())) < 148
+    got = {k: v["component_id"] for k, v in by_id(simhash.similar(frame(spark, docs))).items()}
+    assert all(parent[got[i]] == parent[i] for i in got)  # nothing below 0.8
+    assert sum(got[i] != parent[i] for i in got) <= 1
+
+
 # ---- op2 ----------------------------------------------------------------------------------------------------
 
 

@@ -18,12 +18,12 @@ rows are equal rows; an empty table gives an empty result; other columns are ign
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tolera.llm import common as C
@@ -243,103 +243,229 @@ def groups(docs: DataFrame, words: int = 3, cell: int = CELL) -> DataFrame:
     return fp.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- wide fingerprints for a similarity threshold --------------------------------------------------------------
+# ---- wide fingerprints and sets of shingles for a similarity threshold -----------------------------------------
 
 LANES = 4
+#: Least hashes of a table's key, and tables: texts at 0.8 share a key with probability 1 - (1 - 0.8**3)**10 = 0.9992.
+LEAST, TABLES = 3, 10
+#: Members of a cell whose open pairs are sent one by one; larger cells are linked in one task, from their sets.
+FEW = 6
+_ODD = np.random.RandomState(77).randint(0, 1 << 62, LEAST * TABLES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def wide_fingerprints(texts: list[bytes], words: int) -> np.ndarray:
-    """(texts, LANES) fingerprints of word shingles, repeats included; zero without words."""
-    out = np.zeros((len(texts), LANES), np.uint64)
+def shingle_sets(texts: list[bytes], words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, owners, shingle hashes) of successive texts: each text's distinct word shingles in ascending
+    order; a text too short for one has all its words as one, a wordless text has none."""
     for a, z in C.chunks(texts, 1 << 20):
         begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[a:z]])[:-1]))
         starts, _, h = C.words_of(np.frombuffer(b"\n".join(texts[a:z]), np.uint8), lower=True)
         doc = np.searchsorted(begin, starts, "right") - 1
         n = len(h) - words + 1
         ok = doc[:n] == doc[words - 1 :] if n > 0 else np.zeros(0, bool)
-        shingle, owner = C.window_hash(h, words)[ok] if n > 0 else np.zeros(0, np.uint64), doc[:n][ok] if n > 0 else np.zeros(0, np.int64)
-        count = np.bincount(doc, minlength=z - a)
-        for i in np.flatnonzero((count > 0) & (count < words)):  # too short for a shingle: all its words
-            w = h[doc == i]
-            shingle, owner = np.append(shingle, C.window_hash(w, len(w))), np.append(owner, i)
-        order = np.argsort(owner, kind="stable")
-        shingle, owner = shingle[order], owner[order]
+        shingle, owner = [C.window_hash(h, words)[ok] if n > 0 else np.zeros(0, np.uint64)], [doc[:n][ok] if n > 0 else np.zeros(0, np.int64)]
+        first = np.searchsorted(doc, np.arange(z - a + 1))
+        count = np.diff(first)
+        for i in np.flatnonzero((count > 0) & (count < words)).tolist():
+            shingle.append(C.window_hash(h[first[i] : first[i + 1]], int(count[i])))
+            owner.append(np.array([i]))
+        s, o = np.concatenate(shingle), np.concatenate(owner)
+        order = np.lexsort((s, o))
+        s, o = s[order], o[order]
+        new = np.concatenate(([True], (s[1:] != s[:-1]) | (o[1:] != o[:-1]))) if len(s) else np.zeros(0, bool)
+        yield a, o[new], s[new]
+
+
+def _nodes(head: np.ndarray, total: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    with np.errstate(over="ignore"):
+        return C.mix(np.add.reduceat(C.mix(shingle, 5), head) + total.astype(np.uint64), 6)
+
+
+def _heads(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    head = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    return head, np.diff(np.concatenate((head, [len(owner)])))
+
+
+def wide_fingerprints(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: hash of its shingle set, the set's size, SimHash (LANES words) and table keys (TABLES) of the set."""
+    n = len(texts)
+    node, size, out, keys = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros((n, LANES), np.uint64), np.zeros((n, TABLES), np.uint64)
+    for a, owner, shingle in shingle_sets(texts, words):
         if not len(owner):
             continue
-        head = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        total = np.diff(np.concatenate((head, [len(owner)])))
+        head, total = _heads(owner)
+        at = a + owner[head]
+        node[at], size[at] = _nodes(head, total, shingle), total
         for lane in range(LANES):
             bits = np.unpackbits(C.mix(shingle, 17 + lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones = np.add.reduceat(bits, head, axis=0, dtype=np.int32)
-            out[a + owner[head], lane] = np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
+            out[at, lane] = np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        with np.errstate(over="ignore"):
+            for t in range(TABLES):
+                key = np.full(len(head), t, np.uint64)
+                for j in range(LEAST):
+                    key = C.mix(key ^ np.minimum.reduceat(shingle * _ODD[t * LEAST + j], head), j)
+                keys[at, t] = key
+    return node, size, out, keys
 
 
 def differing_share(similarity: float) -> float:
-    """Share of bits in which SimHashes of equally long texts of this Jaccard similarity differ."""
+    """Share of bits in which SimHashes of sets of this Jaccard similarity differ, at most (equal sizes)."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def tables_for(n: int, similarity: float, recall: float = 0.97) -> tuple[int, int]:
-    """(bits of a table's key, tables): cells hold a few unrelated fingerprints, however many there are."""
-    bits = max(16, math.ceil(math.log2(max(2, n))) - 2)
-    hit = (1 - differing_share(similarity)) ** bits
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+def radius_for(similarity: float) -> int:
+    """Five standard deviations above the mean, which small sets need as well; unrelated sets are near half the bits."""
+    share, width = differing_share(similarity), 64 * LANES
+    return math.ceil(width * share + 5 * math.sqrt(width * share * (1 - share)))
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id: documents whose 256-bit SimHashes differ by no more than texts of this Jaccard
-    similarity do (and one standard deviation), grouped; the group's smallest doc_id names it.
+def open_pairs(f: np.ndarray, key: np.ndarray, label: np.ndarray, size: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Members of one cell within the radius whose labels differ and whose set sizes allow the similarity."""
+    order = np.argsort(key, kind="stable")
+    head, total = _heads(key[order])
+    mixed = np.minimum.reduceat(label[order], head) != np.maximum.reduceat(label[order], head)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for h, n in zip(head[mixed].tolist(), total[mixed].tolist(), strict=True):
+        x = order[h : h + n]
+        step = max(1, (1 << 20) // n)
+        for i in range(0, n, step):
+            u = x[i : i + step]
+            low, high = np.minimum(size[u][:, None], size[x]), np.maximum(size[u][:, None], size[x])
+            near = (u[:, None] < x) & (label[u][:, None] != label[x]) & (low >= similarity * high - 1e-9)
+            p, q = np.nonzero(near)
+            ok = np.bitwise_count(f[u[p]] ^ f[x[q]]).sum(axis=1, dtype=np.int64) <= radius
+            a.append(u[p[ok]]), b.append(x[q[ok]])
+    return np.concatenate(a), np.concatenate(b)
+
 
-    Candidates share a table's sampled bits; ``tables_for`` sets their number for a recall of 0.97 at the threshold,
-    near 1 above it.  Texts with equal words are one fingerprint before any comparison."""
-    spark = docs.sparkSession
-    n = C.parts(spark)
-    ddl = "doc_id long, " + ", ".join(f"f{i} long" for i in range(LANES))
-    arrow = pa.schema([("doc_id", pa.int64())] + [(f"f{i}", pa.int64()) for i in range(LANES)])
-    lanes = [f"f{i}" for i in range(LANES)]
+def linked_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(members, parents) that connect all sets of at least this Jaccard similarity; at most one link per member.
+
+    Common shingles are counted by postings, for one reached set against all at once."""
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    by = np.argsort(term, kind="stable")
+    doc, first = np.repeat(np.arange(n), size)[by], np.searchsorted(term[by], np.arange(term.max() + 2))
+    end = np.cumsum(size)
+    parent, free = np.arange(n), np.ones(n, bool)
+    for seed in range(n):
+        front = [seed] if free[seed] else []
+        free[seed] = False
+        while front:
+            q = front.pop()
+            common = np.bincount(np.concatenate([doc[first[t] : first[t + 1]] for t in term[end[q] - size[q] : end[q]].tolist()]), minlength=n)
+            hit = np.flatnonzero(free & (common >= similarity * (size + size[q] - common) - 1e-9))
+            parent[hit], free[hit] = q, False
+            front += hit.tolist()
+    own = np.flatnonzero(parent != np.arange(n))
+    return own, parent[own]
+
+
+def rooted(docs: DataFrame, row: Column, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, row (a long that the caller names rows by), root of every row: rows whose sets of distinct word shingles
+    are linked by Jaccard similarities of at least ``similarity`` have the same root.
+
+    Candidates share a table's key (least hashes of the set; recall per pair see TABLES, higher above 0.8) and lie within
+    a wide SimHash radius; every link is verified on the sets.  First each candidate is verified against one of its
+    cell, which joins most copies; then all candidates that still have different roots are: pair by pair in cells with
+    up to FEW of them, in larger ones by one task that gets the sets, so that no pairs are sent for a large group."""
+    n = C.parts(docs.sparkSession)
+    ddl = "doc_id long, row long, place long, node long, size long, f binary, keys binary"
+    arrow = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("place", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("f", pa.binary()), ("keys", pa.binary())])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.xxhash64(text).alias("place"), text.alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = wide_fingerprints(C.as_bytes(b.column("text")), words).view(np.int64)
-            yield pa.record_batch([b.column("doc_id"), *[pa.array(got[:, i].copy()) for i in range(LANES)]], schema=arrow)
-
-    fp = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(prints, ddl).withColumn("node", F.xxhash64(*lanes)))
-    first = fp.groupBy("node", *lanes).agg(F.min("doc_id").alias("first"))
-    share = differing_share(similarity)
-    width = 64 * LANES
-    radius = int(width * share + math.sqrt(width * share * (1 - share)))
-    bits, tables = tables_for(fp.count(), similarity)
-    sample = [np.random.RandomState(t).choice(width, bits, replace=False) for t in range(tables)]
+            node, size, f, keys = wide_fingerprints(C.as_bytes(b.column("text")), words)
+            yield pa.record_batch([b.column("doc_id"), b.column("row"), b.column("place"), pa.array(node.view(np.int64)), pa.array(size), pa.array([x.tobytes() for x in f], pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary())], schema=arrow)
+
+    fp = settle(source.mapInArrow(prints, ddl))
+    distinct = fp.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("f").alias("f"), F.first("keys").alias("keys"), F.min("place").alias("place"))
+    radius = radius_for(similarity)
     packet = pa.schema([("part", pa.int32()), ("data", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.stack([b.column(x).to_numpy().view(np.uint64) for x in lanes], axis=1)
-            node = b.column("node").to_numpy()
-            flat = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), -1), axis=1, bitorder="little")
-            out = []
-            for t, chosen in enumerate(sample):
-                key = np.zeros(len(f), np.uint64)
-                for p in chosen:
-                    key = (key << np.uint64(1)) | flat[:, p]
-                key = C.mix(key, 100 + t)
-                part = C.part_of(key, n)
-                out.append((part, key))
-            part, key = np.concatenate([p for p, _ in out]), np.concatenate([k for _, k in out])
-            who = np.tile(np.arange(len(f)), tables)
+            if not len(b):
+                continue
+            own = lambda c: np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(len(b), -1)  # noqa: B023, E731
+            f, key = own("f"), own("keys").T.ravel()
+            node, label, size = (b.column(c).to_numpy() for c in ("node", "label", "size"))
+            part, who = C.part_of(key, n), np.tile(np.arange(len(b)), TABLES)
             order = np.argsort(part, kind="stable")
-            sent = [(p, C.pack(key[order[x]], node[who[order[x]]], f[who[order[x]]].ravel())) for p, x in C.deal(part[order], n)]
+            sent = [(p, C.pack(key[order[x]], *[c[who[order[x]]] for c in (node, label, size)], f[who[order[x]]].ravel())) for p, x in C.deal(part[order], n)]
             yield from C.rows(packet, [p for p, _ in sent], [z for _, z in sent]).to_batches()
 
-    def link(group: pa.Table) -> pa.Table:
-        data = [C.unpack(x) for x in group.column("data").to_pylist()]
-        key, node, f = (np.concatenate([d[i] for d in data]) for i in range(3))
-        a, b = link_cells(f.reshape(-1, LANES), key, radius)
-        return pa.table({"a": node[a], "b": node[b]})
+    def link(all_pairs: bool) -> Callable[[pa.Table], pa.Table]:
+        def run(group: pa.Table) -> pa.Table:
+            data = [C.unpack(x) for x in group.column("data").to_pylist()]
+            key, node, label, size, f = (np.concatenate([d[i] for d in data]) for i in range(5))
+            order = np.argsort(node, kind="stable")  # a cell's least node is compared first, in every table
+            key, node, label, size, f = key[order], node[order], label[order], size[order], f.reshape(-1, LANES)[order]
+            if not all_pairs:
+                a, b = link_cells(f, key, radius)
+                return pa.table({"cell": np.zeros(len(a), np.int64), "a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+            a, b = open_pairs(f, key, label, size, radius, similarity)
+            cell, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            order = np.argsort(key[a], kind="stable")
+            few = np.ones(len(a), bool)
+            for x in np.split(order, np.flatnonzero(np.diff(key[a][order].view(np.int64))) + 1):
+                own = np.unique(np.concatenate((node[a[x]], node[b[x]])))
+                if len(own) > FEW:
+                    few[x] = False
+                    name = xxhash.xxh64_intdigest(own.tobytes()) >> 1 | 1  # cells of equal members are one
+                    cell.append(np.full(len(own), name, np.int64)), many.append(own)
+            a, b, own = node[a[few]], node[b[few]], np.concatenate(many)
+            return pa.table({"cell": np.concatenate((np.zeros(len(a), np.int64), *cell)), "a": np.concatenate((a, own)), "b": np.concatenate((b, own))})
+
+        return run
+
+    def candidates(nodes: DataFrame, all_pairs: bool) -> DataFrame:
+        return settle(nodes.select("node", "label", "size", "f", "keys").mapInArrow(send, "part int, data binary").groupBy("part").applyInArrow(link(all_pairs), "cell long, a long, b long").distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, owner, shingle in shingle_sets(C.as_bytes(b.column("text")), words):
+                if len(owner):
+                    head, total = _heads(owner)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(owner)), pa.int32()), pa.array(shingle.view(np.int64)))
+                    yield pa.record_batch([pa.array(_nodes(head, total, shingle).view(np.int64)), lists], names=["node", "shingles"])
+
+    first = candidates(distinct.withColumn("label", F.col("node")), False)
+    touched = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    near = settle(distinct.join(touched, "node"))
+    wanted = source.select("place", "text").join(near.select("place").distinct(), "place", "left_semi").dropDuplicates(["place"])
+    of = settle(wanted.select("text").mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(of.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+
+    sure = settle(verified(first))
+    roots = components(sure)
+    labelled = near.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    rest = candidates(labelled, True)
+
+    def within_cell(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        order = np.argsort(node)
+        lists = group.column("shingles").to_pylist()
+        a, b = linked_sets([np.array(lists[i], np.int64) for i in order.tolist()], similarity)
+        return pa.table({"a": node[order[a]], "b": node[order[b]]})
+
+    pairs = rest.where("cell = 0").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    crowd = rest.where("cell != 0").select("cell", F.col("a").alias("node")).join(of, "node").groupBy("cell").applyInArrow(within_cell, "a long, b long")
+    roots = components(sure.unionByName(verified(pairs)).unionByName(crowd))
+    return fp.select("doc_id", "row", "node").join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root"))
 
-    edges = first.select("node", *lanes).mapInArrow(send, "part int, data binary").groupBy("part").applyInArrow(link, "a long, b long")
-    roots = components(edges)
-    named = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fp.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id: documents grouped by links of at least this Jaccard similarity of their sets of distinct word
+    shingles (see ``rooted``); the group's smallest doc_id names it.  Wordless texts are equal."""
+    rows = settle(rooted(docs, F.lit(0).cast("long"), words, similarity))
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", "component_id")
