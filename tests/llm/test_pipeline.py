@@ -73,3 +73,22 @@ def test_empty_and_odd_documents(spark):
     for docs in (spark.createDataFrame([], SCHEMA), frame(spark, [(None, None), (1, "a b c " * 20), (1, "a b c " * 20), (None, "fine words stand here in a row of their own today"), (3, "")])):
         for _, f in pipeline.STAGES:
             f(spark, docs, SF).count()
+
+
+def test_one_row_stays_of_repeated_and_null_ids(spark):
+    prose = lambda k: " ".join(f"{k}{j}" for j in range(60))
+    docs = [(1, prose("a")), (1, prose("b")), (1, prose("b")), (2, prose("a")), (5, prose("c")), (5, prose("c") + " end"), (None, prose("c")), (None, prose("d")), (None, prose("d")), (None, prose("e")), (9, prose("e"))]
+    got = [(r["doc_id"], r["text"]) for r in pipeline.simhash_dedup(spark, frame(spark, docs), SF).collect()]
+    (c,) = [x for x in got if x[0] == 5]
+    assert c in docs  # of one id, any of the two near copies
+    assert sorted(got, key=str) == sorted([(1, prose("a")), (1, prose("b")), c, (None, prose("d")), (9, prose("e"))], key=str)
+
+
+def test_repeats_go_row_by_row(spark):
+    """Rows of an id keep their own texts; null ids have verdicts too."""
+    prose = lambda k, n=30: " ".join(f"{k}{j}" for j in range(n))
+    docs = [(1, prose("a")), (2, prose("a") + " tail one"), (2, prose("b")), (2, prose("b") + " tail two"), (3, prose("c")), (3, prose("a")), (4, None), (None, prose("e", 40) + " " + prose("e", 40)), (None, prose("f"))]
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.substring_dedup(spark, frame(spark, docs), SF).collect()), key=str)
+    verdicts = pipeline.substring.removed(frame(spark, docs)).collect()
+    assert sorted(((r["doc_id"], r["text"] if r["text"] or r["n_words"] else None) for r in verdicts if not r["n_words"] or r["n_removed"] < r["n_words"]), key=str) == got
+    assert {(1, prose("a")), (2, "tail one"), (2, prose("b")), (3, prose("c")), (4, None), (None, prose("e", 40)), (None, prose("f"))} <= set(got) and (3, prose("a")) not in got

@@ -15,6 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from tolera.llm import common as C
@@ -49,15 +50,16 @@ def digest(docs: DataFrame, window: int = 20) -> DataFrame:
 
 
 def removed(docs: DataFrame, window: int = 20) -> DataFrame:
-    """doc_id, text (what is left; unchanged where nothing is removed), spans of removed words, n_removed."""
+    """doc_id, text (what is left; unchanged where nothing is removed), n_words, n_removed, spans of removed words,
+    place (xxhash64 of the whole text: with doc_id it names the row that a verdict is for)."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", span)])
+    arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("place", pa.int64())])
 
     def finish(i, text, starts, ends):  # noqa: ANN001, ANN202
         n, gone, kept = _kept(text, starts, ends)
-        return i, (kept if gone else text).decode(), n, gone, [{"start": int(a), "end": int(z)} for a, z in zip(starts, ends, strict=True)]
+        return i, (kept if gone else text).decode(), n, gone, [{"start": int(a), "end": int(z)} for a, z in zip(starts, ends, strict=True)], int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64))
 
-    return repeats.remove(docs, spec(window), finish, "doc_id long, text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>", arrow)
+    return repeats.remove(docs, spec(window), finish, "doc_id long, text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>, place long", arrow)
 
 
 __all__ = ["C", "digest", "removed", "spec"]
