@@ -397,6 +397,25 @@ def test_packing(spark):
     packed_well(packing.pack(frame(spark, DOCS)).collect(), DOCS)
 
 
+def test_added_tokens_are_single_ids_in_the_query(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as the library does by default
+    docs = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x  <|endoftext|><|endoftext|>\n y<|endoftext|"), (4, None), (5, "plain  words "), (6, "<|endoftext|>a " * 2100)]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    by = defaultdict(list)
+    for r in queries.queries()["op4_packing"](spark, str(tmp_path)).collect():
+        by[r["doc_id"]].append(r)
+    assert tok.encode(docs[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for i, t in docs:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        rows = sorted(by[i], key=lambda r: r["piece"])
+        assert [r["start"] for r in rows] == [0, *np.cumsum([r["length"] for r in rows])[:-1]] and sum(r["length"] for r in rows) == len(ids)
+        for r in rows:
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_reduction_keeps_an_optimum(seed):
     """On tiny instances the fixed sets and an optimal packing of what they leave need as many sequences as the optimum."""

@@ -18,6 +18,7 @@ import base64
 import functools
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -75,6 +76,19 @@ def splitter() -> Callable[[str], list[str]]:
     return regex.compile(public_tokenizers.PATTERN).findall
 
 
+@functools.lru_cache(maxsize=4)
+def added(path: str) -> tuple[re.Pattern[str] | None, dict[str, int]]:
+    """A pattern of the description's added tokens, the longest first, and their ids."""
+    if not path.endswith(".json"):
+        return None, {}
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", ())
+    if any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take white space or whole words only are not supported")
+    ids = {t["content"]: t["id"] for t in tokens}
+    return (re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None), ids
+
+
 @functools.lru_cache(maxsize=4)
 def token_bytes(path: str) -> dict[int, bytes]:
     return {i: t for t, i in ranks(path).items()}

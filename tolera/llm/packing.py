@@ -37,23 +37,34 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the end token, cut only where they are
-    more than ``capacity``; then the first piece is the shorter one."""
+    more than ``capacity``; then the first piece is the shorter one.  With ``added``, an added token of the
+    vocabulary is one id wherever a text holds it, as in the tokenizers library by default; else it is plain text."""
     path = bpe.vocabulary(vocab)
     tail = np.uint32(end).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, split = bpe.encoder(path), bpe.splitter()
+        literal, single = bpe.added(path) if added else (None, {})
+        whole = {t: np.uint32(i).tobytes() for t, i in single.items()}
         known: dict[str, bytes] = {}
         for b in batches:
             out = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = split(text or "")
-                for w in words:
-                    if w not in known:
-                        known[w] = np.array(encode(w.encode()), np.uint32).tobytes()
-                raw = b"".join([known[w] for w in words]) + tail
+                parts, at = [], 0
+                for m in literal.finditer(text or "") if literal else ():
+                    parts += [(text[at : m.start()], b""), ("", whole[m[0]])]
+                    at = m.end()
+                coded = []
+                for part, one in [*parts, ((text or "")[at:], b"")]:
+                    words = split(part)
+                    for w in words:
+                        if w not in known:
+                            known[w] = np.array(encode(w.encode()), np.uint32).tobytes()
+                    coded += [known[w] for w in words]
+                    coded.append(one)
+                raw = b"".join(coded) + tail
                 if len(known) > KNOWN:
                     known.clear()
                 n = len(raw) // 4
@@ -146,9 +157,9 @@ def plan(count: np.ndarray, capacity: int = CAPACITY) -> dict[int, tuple[np.ndar
     return {x: tuple(np.array(v, np.int64) for v in zip(*s, strict=True)) for x, s in slots.items()}  # type: ignore[misc]
 
 
-def pack(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = settle(pieces(docs, vocab, capacity, end).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")))
+def pack(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset; parameters as in ``pieces``."""
+    cut = settle(pieces(docs, vocab, capacity, end, added).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")))
     # At most capacity * SALTS rows, whatever the input.
     counted = cut.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
     table = np.zeros((capacity + 1, SALTS), np.int64)

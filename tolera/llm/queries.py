@@ -31,7 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": _documents(simhash.groups),
         "op2_katz": _documents(katz.score),
         "op3_suffix_dedup": _documents(suffix.digest),
-        "op4_packing": _documents(packing.pack),
+        "op4_packing": _documents(lambda docs: packing.pack(docs, added=True)),
         "op5_quality_rules": _documents(_op5),
         "op6_quality_classifier": op6,
         "op7_substring_dedup": _documents(substring.digest),
