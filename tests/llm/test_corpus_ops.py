@@ -515,6 +515,48 @@ def test_license_base(spark):
     assert "mit" in got[5]["labels"] and "mit" in got[7]["labels"] and got[2]["labels"] == ""
 
 
+def spellings(pattern):
+    """Texts that match: every alternative with the rest at its first, shortest and longest; classes by each member."""
+    from re import _constants as K
+    from re import _parser
+
+    def walk(seq):
+        out = [""]
+        for op, arg in seq:
+            if op is K.LITERAL:
+                got = [chr(arg)]
+            elif op is K.IN:
+                got = [chr(c) for kind, x in arg for c in (range(x[0], x[1] + 1) if kind is K.RANGE else [x])]
+                got = got[:1] + got[-1:] if len(got) > 4 else got
+            elif op is K.BRANCH:
+                got = [x for branch in arg[1] for x in walk(branch)]
+            elif op is K.SUBPATTERN:
+                got = walk(arg[3])
+            else:
+                low, high, inner = arg
+                got = ([""] if low == 0 else []) + [x * max(low, 1) for x in walk(inner)]
+            out = [a + b for a in out for b in got]
+        return out
+
+    return walk(_parser.parse(pattern))
+
+
+@pytest.mark.parametrize("k", range(0, len(license.RULES), 20))
+def test_gates_let_every_alternative_pass(k):
+    """With the gate off a rule finds each of its spellings; with it on, it has to find the same."""
+    for label, _, _, keywords, pattern in license.RULES[k : k + 20]:
+        texts = spellings(pattern)
+        assert texts and all(re.fullmatch(pattern, t) for t in texts)
+        assert not [t for t in texts if not any(w in t for w in keywords.split("/"))], (label, pattern)
+
+
+def test_gated_texts_keep_their_labels():
+    for text, label in [("released under the GNU GPL", "gpl"), ("PSF license", "python"), ("X Consortium License", "x11"), ("PNG reference library license", "libpng"), ("BigScience Open RAIL-M License", "openrail"),
+                        ("This license governs use of the accompanying software. If you use the software, you accept this license", "ms-pl"), ("permission to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "mit-0"),
+                        ("Permission to copy, modify, and distribute this software and its documentation, for any purpose", "w3c")]:
+        assert label in {f.label for f in license.scan(text.encode())[2]}, text
+
+
 def test_contained_detections_are_suppressed():
     f = license.Found
     assert license.suppress([f(0, 5, 8, "gpl", 0.9), f(1, 3, 6, "gfdl", 0.5), f(4, 9, 3, "mit", 0.4), f(0, 5, 8, "lgpl", 0.9)]) == [f(0, 5, 8, "gpl", 0.9), f(4, 9, 3, "mit", 0.4)]

@@ -47,7 +47,8 @@ def _compiled() -> tuple[object, list[tuple[int, str, float, re.Pattern[bytes]]]
     by: dict[str, list[int]] = {}
     rules = []
     for label, priority, weight, keyword, pattern in RULES:
-        by.setdefault(keyword, []).append(len(rules))
+        for word in keyword.split("/"):
+            by.setdefault(word, []).append(len(rules))
         rules.append((priority, label, weight, re.compile(rb"(?<![^ ])(?:" + pattern.encode() + rb")(?![^ ])")))
     for keyword, numbers in by.items():
         gate.add_word(keyword, numbers)

@@ -1,7 +1,7 @@
-"""Signature rules of the licence scan: label | priority | weight | keyword | pattern.
+"""Signature rules of the licence scan: label | priority | weight | keywords | pattern.
 
-Patterns see lower-case words joined by single spaces, at word borders; a keyword is a word or part that every
-match holds.  Priorities: 9 identifier tags, 8 full titles with a version, 7 sentences from the licence text,
+Patterns see lower-case words joined by single spaces, at word borders; every match holds at
+least one of a rule's keywords (words or parts, separated by slashes).  Priorities: 9 identifier tags, 8 full titles with a version, 7 sentences from the licence text,
 6 titles, 5 links, 4 notices, 3 short names.
 """
 
@@ -127,7 +127,7 @@ eudatagrid|8|0.95|eu datagrid|eu datagrid software license
 rpl|8|0.95|reciprocal public|reciprocal public license( version| v)? 1 [15]
 mit|7|0.97|permission is hereby|permission is hereby granted free of charge to any person obtaining a copy of this software
 mit|7|0.96|substantial portions|the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
-mit-0|7|0.95|substantial portions|permission to use copy modify merge publish distribute sublicense and or sell copies of the software
+mit-0|7|0.95|permission to use|permission to use copy modify merge publish distribute sublicense and or sell copies of the software
 isc|7|0.97|permission to use|permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 isc|7|0.95|permission to use|permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted
 bsd|7|0.96|redistribution and use|redistribution and use in source and binary forms with or without modification are permitted
@@ -167,25 +167,25 @@ openssl|7|0.95|openssl|this product includes software developed by the openssl p
 php|7|0.95|php|this product includes php software
 python|7|0.94|python software|this license agreement is between the python software foundation
 unicode|7|0.94|unicode|permission is hereby granted free of charge to any person obtaining a copy of the unicode data files
-w3c|7|0.94|w3c|permission to copy modify and distribute this (software|work) and its documentation( with or without modification)? for any purpose
+w3c|7|0.94|permission to copy|permission to copy modify and distribute this (software|work) and its documentation( with or without modification)? for any purpose
 vim|7|0.92|vim|there are no restrictions on distributing unmodified copies of vim
 beerware|7|0.95|beer|(you )?can buy me a beer in return
-ms-pl|7|0.93|reciprocal|this license governs use of the accompanying software if you use the software you accept this license
+ms-pl|7|0.93|accompanying software|this license governs use of the accompanying software if you use the software you accept this license
 fsfap|7|0.94|copying and distribution|copying and distribution of this file with or without modification are permitted in any medium without royalty
 json|7|0.95|good not evil|the software shall be used for good not evil
 lppl|7|0.94|latex|this work may be distributed and or modified under the conditions of the latex project public license
-gpl|6|0.94|general public|(the )?gnu (general public license|gpl)
+gpl|6|0.94|general public/gnu gpl|(the )?gnu (general public license|gpl)
 gpl|6|0.9|general public|general public licen[cs]e of the gnu project
 lgpl|6|0.94|general public|(the )?gnu (lesser|library) general public license
 agpl|6|0.94|affero|(the )?gnu affero general public license
 apache|6|0.93|apache|(the )?apache (software )?license
 mit|6|0.93|mit license|(released |licensed |available |distributed )?(under )?(the )?mit license
-x11|6|0.93|x11|(the )?(x11|x consortium) license
+x11|6|0.93|x11/x consortium|(the )?(x11|x consortium) license
 mit|6|0.9|expat|(the )?expat license
 bsd|6|0.93|bsd|(the )?bsd( style)? license
 isc|6|0.93|isc license|(the )?isc license
 zlib|6|0.93|zlib|(the )?zlib( libpng)? license
-libpng|6|0.93|libpng|(the )?(libpng|png reference library) license
+libpng|6|0.93|libpng/png reference|(the )?(libpng|png reference library) license
 mpl|6|0.93|mozilla|(the )?mozilla public license
 epl|6|0.93|eclipse|(the )?eclipse public license
 eupl|6|0.93|european|(the )?european union public licen[cs]e
@@ -198,7 +198,7 @@ ofl|6|0.93|open font|(the )?(sil )?open font license
 odbl|6|0.93|open database|(the )?open database license
 gfdl|6|0.93|free documentation|(the )?gnu free documentation license
 postgresql|6|0.93|postgresql|(the )?postgresql licen[cs]e
-python|6|0.92|python|(the )?(python software foundation|psf|python) license
+python|6|0.92|python/psf|(the )?(python software foundation|psf|python) license
 php|6|0.92|php license|(the )?php license
 ruby|6|0.92|ruby license|(the )?ruby license
 openssl|6|0.92|openssl|(the )?(openssl|openssl ssleay) license
@@ -209,7 +209,7 @@ hpnd|6|0.9|historical permission|historical permission notice and disclaimer
 blueoak|6|0.92|blue oak|blue oak model license
 polyform|6|0.92|polyform|polyform (noncommercial|shield|strict|small business|perimeter|free trial|internal use) license
 commons-clause|6|0.92|commons clause|commons clause license condition
-openrail|6|0.92|openrail|(creativeml |bigscience |bigcode )?open ?rail( m| s)? license
+openrail|6|0.92|openrail/open rail|(creativeml |bigscience |bigcode )?open ?rail( m| s)? license
 openrail|6|0.9|responsible ai|responsible ai license
 llama|6|0.9|llama|llama [123]( [0-9])? community license( agreement)?
 gemma|6|0.9|gemma|gemma terms of use
@@ -248,7 +248,7 @@ wtfpl|5|0.95|wtfpl|(https? )?(www )?wtfpl net
 all-rights-reserved|4|0.7|all rights|all rights reserved
 proprietary|4|0.75|proprietary|(proprietary and confidential|confidential and proprietary)
 proprietary|4|0.7|unauthorized|unauthorized (copying|use|reproduction|distribution) of this (file|software|document|work)( via any medium)? is (strictly )?prohibited
-proprietary|4|0.7|without permission|may not be (reproduced|copied|distributed|used)( in any form)? without( the)?( prior)?( written)? permission
+proprietary|4|0.7|may not be|may not be (reproduced|copied|distributed|used)( in any form)? without( the)?( prior)?( written)? permission
 non-commercial|4|0.7|commercial use|for non ?commercial use only
 copyright|4|0.6|copyright|copyright (c )?(19|20)[0-9]{2}( (19|20)[0-9]{2})?
 gpl|3|0.6|gpl|gpl [123]( 0)?
