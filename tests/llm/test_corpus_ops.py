@@ -576,6 +576,30 @@ def test_bpe_against_tiktoken(spark):
         assert full[i]["ids"] == ids and full[i]["decoded"] == (t or "")
 
 
+def test_bpe_after_a_shuffle_and_a_join(spark):
+    """Adaptive execution coalesces partitions of shuffled inputs; chunks must not depend on that."""
+    import public_tokenizers
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(bpe.ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))), special_tokens={})
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = {r["doc_id"]: hashlib.sha256(np.array(enc.encode_ordinary(r["text"] or ""), "<u4").tobytes()).hexdigest() for r in docs.collect()}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        grouped = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
+        for shuffled in (grouped, docs.join(docs.select("doc_id").hint("shuffle_hash"), "doc_id")):
+            assert {r["doc_id"]: r["ids_sha256"] for r in bpe.digest(shuffled).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_decoding_by_the_token_table(spark):
+    coded = bpe.encode(frame(spark, [*DOCS, (None, "no id"), (None, "no id")])).select("doc_id", "ids")
+    got = Counter((r["doc_id"], bytes(r["decoded"])) for r in bpe.decode_table(coded).collect())
+    assert got == Counter((i, (t or "").encode()) for i, t in [*DOCS, (None, "no id"), (None, "no id")])
+
+
 # ---- op10 ---------------------------------------------------------------------------------------------------
 
 

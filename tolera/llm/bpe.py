@@ -5,8 +5,9 @@ the part that its hash names; ids are joined back and texts reassembled by posit
 sends its distinct words once (packed), keeps positions as numbers into that list, and gets ids in the same
 order, so a very common word costs one entry per chunk.
 
-Chunks are numbered by scan partition and place, so both sides of the reassembly see the same chunks; a retried
-task makes the same ones again.
+Texts are cut once: one exchange carries the words of chunks to parts and the texts to their chunks' numbers, so both
+sides of the reassembly come from the same evaluation, however partitions are coalesced.  Rows are sorted within
+their partition before they are cut into chunks, so a retried task makes the same ones again.
 
 Defined results: a null text is empty and has no tokens; null and repeated ids are carried through, one result
 row per input row; an empty table gives an empty result; other columns are ignored.
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tolera.llm import common as C
+from tolera.llm.graph import settle
 
 #: Bytes of text in a chunk.
 TEXT = 24 << 20
@@ -114,7 +116,7 @@ class _Chunk:
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Chunk]]:
-    """(number, chunk): 2**20 chunks to a scan partition."""
+    """(number, chunk): 2**20 chunks to a partition."""
     at = TaskContext.get().partitionId() << 20
     now = _Chunk()
     for b in batches:
@@ -134,11 +136,24 @@ def _dealt(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, C.part_of(h[order], n)
 
 
-PACKET = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary())])
-PACKET_DDL = "part int, chunk long, data binary"
+#: key: what a packet is dealt by: -1 - part for the words of a chunk, the chunk's number for its texts and its ids.
+PACKET = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
+PACKET_DDL = "key long, chunk long, part int, data binary"
 
 
-def _send_words(n: int) -> Callable:
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of 32-bit numbers, those of equal weight together."""
+    return x.view(np.uint8).reshape(-1, 4).T.ravel() if len(x) else np.zeros(0, np.uint8)
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return planes.reshape(4, -1).T.copy().view(np.uint32).ravel() if len(planes) else np.zeros(0, np.uint32)
+
+
+def _send(n: int) -> Callable:
+    """One pass over the texts sends both: each chunk's distinct words by part, and its texts as numbers of words, common
+    words first, with the place of each number in the words as they are dealt."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, c in _chunked(batches):
             words = [w.encode() for w in c.number]
@@ -146,13 +161,25 @@ def _send_words(n: int) -> Callable:
             for p, x in C.deal(part, n):
                 own = [words[i] for i in order[x]]
                 data = C.pack(np.fromiter(map(len, own), np.uint32, len(own)), np.frombuffer(b"".join(own), np.uint8))
-                yield from C.rows(PACKET, [p], [chunk], [data]).to_batches()
+                yield from C.rows(PACKET, [-1 - p], [chunk], [p], [data]).to_batches()
+            flat = np.concatenate(c.tokens) if c.tokens else np.zeros(0, np.uint32)
+            common = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            number, place = np.empty(len(words), np.uint32), np.empty(len(words), np.uint32)
+            number[common] = np.arange(len(words), dtype=np.uint32)
+            place[number[order]] = np.arange(len(words), dtype=np.uint32)
+            ids = np.array([i or 0 for i in c.ids], np.int64)
+            data = C.pack(ids, np.array([i is None for i in c.ids], np.uint8), np.fromiter(map(len, c.tokens), np.int64, len(c.tokens)), _planes(number[flat]), _planes(place))
+            yield from C.rows(PACKET, [chunk], [chunk], [-1], [data]).to_batches()
 
     return run
 
 
 def _encode_part(path: str) -> Callable[[pa.Table], pa.Table]:
+    """Ids of a part's words, each distinct one encoded once, to the chunks that hold them."""
+
     def run(group: pa.Table) -> pa.Table:
+        if group.column("key")[0].as_py() >= 0:  # the texts of a chunk: the last step's
+            return PACKET.empty_table()
         encode, known, out = encoder(path), {}, []
         for data in group.column("data").to_pylist():
             size, text = C.unpack(data)
@@ -166,35 +193,22 @@ def _encode_part(path: str) -> Callable[[pa.Table], pa.Table]:
                 found.append(got)
             flat = np.fromiter((i for f in found for i in f), np.uint32)
             out.append(C.pack(np.fromiter(map(len, found), np.uint32, len(found)), flat))
-        return pa.table({"part": group.column("part"), "chunk": group.column("chunk"), "data": pa.array(out, pa.binary())})
-
-    return run
-
-
-def _send_texts(n: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, c in _chunked(batches):
-            order, _ = _dealt([w.encode() for w in c.number], n)
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)  # the number of each word when parts are laid end to end
-            flat = rank[np.concatenate(c.tokens)] if len(order) else np.zeros(0, np.uint32)
-            ids = np.array([i or 0 for i in c.ids], np.int64)
-            planes = flat.view(np.uint8).reshape(-1, 4).T.ravel() if len(flat) else np.zeros(0, np.uint8)
-            data = C.pack(ids, np.array([i is None for i in c.ids], np.uint8), np.fromiter(map(len, c.tokens), np.int64, len(c.tokens)), planes)
-            yield from C.rows(PACKET, [-1], [chunk], [data]).to_batches()
+        return pa.table({"key": group.column("chunk"), "chunk": group.column("chunk"), "part": group.column("part"), "data": pa.array(out, pa.binary())})
 
     return run
 
 
+FULL = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def _reassemble(path: str, full: bool) -> Callable[[pa.Table], pa.Table]:
-    def run(group: pa.Table) -> pa.Table:
-        part, data = group.column("part").to_pylist(), group.column("data").to_pylist()
-        by = dict(zip(part, data, strict=True))
-        doc, null, count, planes = C.unpack(by.pop(-1))
-        number = planes.reshape(4, -1).T.copy().view(np.uint32).ravel() if len(planes) else np.zeros(0, np.uint32)
+def _reassemble(path: str, full: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(sent: pa.Table, coded: pa.Table) -> pa.Table:
+        if not len(sent) or sent.column("key")[0].as_py() < 0:
+            return (FULL if full else CODED).empty_table()
+        doc, null, count, planes, place = C.unpack(sent.column("data")[0].as_py())
+        number = _numbers(place)[_numbers(planes)]
+        by = dict(zip(coded.column("part").to_pylist(), coded.column("data").to_pylist(), strict=True))
         table, ids, plain = token_bytes(path), [], []
         for p in sorted(by):
             size, flat = C.unpack(by[p])
@@ -207,14 +221,14 @@ def _reassemble(path: str, full: bool) -> Callable[[pa.Table], pa.Table]:
         for d, missing, c in zip(doc.tolist(), null.tolist(), count.tolist(), strict=True):
             own = number[at : at + c].tolist()
             at += c
-            coded, text = b"".join([ids[i] for i in own]), b"".join([plain[i] for i in own])
+            raw, text = b"".join([ids[i] for i in own]), b"".join([plain[i] for i in own])
             first = None if missing else d
             if full:
-                out.append((first, np.frombuffer(coded, np.uint32), text.decode()))
+                out.append((first, np.frombuffer(raw, np.int32), text.decode()))
             else:
-                out.append((first, len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(text).hexdigest()))
+                out.append((first, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(text).hexdigest()))
         if full:
-            return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1].astype(np.int32) for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out])], names=["doc_id", "ids", "decoded"])
+            return C.rows(FULL, *zip(*out, strict=True))
         return C.rows(CODED, *zip(*out, strict=True))
 
     return run
@@ -223,10 +237,27 @@ def _reassemble(path: str, full: bool) -> Callable[[pa.Table], pa.Table]:
 def _coded(docs: DataFrame, vocab: str, full: bool) -> DataFrame:
     n, path = C.parts(docs.sparkSession), vocabulary(vocab)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = docs.mapInArrow(_send_words(n), PACKET_DDL).groupBy("part").applyInArrow(_encode_part(path), PACKET_DDL)
-    texts = docs.mapInArrow(_send_texts(n), PACKET_DDL)
+    # In this order a repeated task cuts a partition into the same chunks, whatever order its rows arrive in.
+    sent = docs.sortWithinPartitions(F.xxhash64("text", "doc_id"), "doc_id", "text").mapInArrow(_send(n), PACKET_DDL)
+    encoded = sent.groupBy("key").applyInArrow(_encode_part(path), PACKET_DDL)
     ddl = "doc_id long, ids array<int>, decoded string" if full else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return texts.unionByName(encoded).groupBy("chunk").applyInArrow(_reassemble(path, full), ddl)
+    return sent.groupBy("key").cogroup(encoded.groupBy("key")).applyInArrow(_reassemble(path, full), ddl)
+
+
+def decode_table(coded: DataFrame, vocab: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """doc_id, decoded (bytes) of rows of (doc_id, ids), by a join with the token-byte table.
+
+    The table has a row per token of the vocabulary, so broadcasting it is bounded by the vocabulary.  Rows are decoded
+    one by one, by position; null and repeated ids of documents are carried through, an empty list has no bytes, and an
+    id outside the vocabulary is an error."""
+    table = coded.sparkSession.createDataFrame(sorted((i, t) for i, t in token_bytes(vocabulary(vocab)).items()), "token int, bytes binary")
+    named = coded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"), F.expr("uuid()").alias("row"))
+    named = settle(named)
+    spread = named.select("row", F.posexplode("ids").alias("at", "token")).join(F.broadcast(table), "token", "left")
+    known = F.when(F.col("bytes").isNull(), F.raise_error(F.lit("an id is outside the vocabulary")).cast("binary")).otherwise(F.col("bytes"))
+    pieces = spread.select("row", F.struct("at", F.hex(known).alias("bytes")).alias("piece")).groupBy("row").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    text = F.unhex(F.array_join(F.col("pieces.bytes"), ""))
+    return named.join(pieces, "row", "left").select("doc_id", F.coalesce(text, F.lit(b"")).alias("decoded"))
 
 
 def encode(docs: DataFrame, vocab: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
