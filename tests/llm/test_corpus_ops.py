@@ -562,6 +562,33 @@ def test_contained_detections_are_suppressed():
     assert license.suppress([f(0, 5, 8, "gpl", 0.9), f(1, 3, 6, "gfdl", 0.5), f(4, 9, 3, "mit", 0.4), f(0, 5, 8, "lgpl", 0.9)]) == [f(0, 5, 8, "gpl", 0.9), f(4, 9, 3, "mit", 0.4)]
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_suppression_against_all_pairs(seed):
+    r = random.Random(seed)
+    found = [license.Found(a, a + r.randint(1, 9), r.randint(3, 6), r.choice("abc"), 0.5) for a in (r.randint(0, 25) for _ in range(40))]
+    found = sorted(set(found))
+    better = lambda k, f: k.start <= f.start and f.end <= k.end and k.priority >= f.priority and (k[:3] != f[:3] or (k.label, -k.weight) < (f.label, -f.weight))
+    assert license.suppress(found) == sorted(f for f in found if not any(better(k, f) for k in found if k != f))
+
+
+def test_license_labels_and_score_without_the_gate(spark):
+    """Every rule run over every text, no keyword gate and no sweep: the same labels and scores."""
+    r = random.Random(6)
+    texts = [s for rule in r.sample(list(license.RULES), 70) for s in r.sample(spellings(rule[4]), 1)]
+    docs = [(i, " and ".join(r.sample(texts, r.randint(0, 4))) + r.choice(["", " under the MIT License", " some words, no licence"])) for i in range(120)]
+    rules_ = [(priority, label, weight, re.compile(r"(?<![^ ])(?:" + pattern + r")(?![^ ])")) for label, priority, weight, _, pattern in license.RULES]
+    got = by_id(license.digest(frame(spark, docs)))
+    for i, t in docs:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        line = " ".join(w)
+        found = {license.Found(line[: m.start()].count(" "), line[: m.end()].count(" ") + 1, p, label, weight) for p, label, weight, rx in rules_ for m in rx.finditer(line) if m[0]}
+        inside = lambda k, f: k.start <= f.start and f.end <= k.end and k.priority >= f.priority and (k[:3] != f[:3] or (k.label, -k.weight) < (f.label, -f.weight))
+        left = [f for f in found if not any(inside(k, f) for k in found if k != f)]
+        base = [label for p, label in license.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        assert got[i]["labels"] == ",".join(sorted({f.label for f in left} | set(base)))
+        assert got[i]["score"] == pytest.approx(1 - math.prod(1 - f.weight for f in left) * 0.1 ** len(base))
+
+
 def test_bpe_against_tiktoken(spark):
     import public_tokenizers
     import tiktoken

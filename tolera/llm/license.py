@@ -57,11 +57,17 @@ def _compiled() -> tuple[object, list[tuple[int, str, float, re.Pattern[bytes]]]
 
 
 def suppress(found: list[Found]) -> list[Found]:
-    """Without detections that lie in another of the same or a higher priority; of equals the first label stays."""
+    """Without detections that lie in another of the same or a higher priority; of equals the first label and its
+    largest weight stay.
+
+    One sweep by start, longest first: whatever contains a detection has come before it, and has come to an end at least
+    as far.  The furthest end of each priority is all that has to be known of them, so many detections cost no pairs."""
+    furthest: dict[int, int] = {}
     kept: list[Found] = []
-    for f in sorted(found, key=lambda f: (-f.priority, -(f.end - f.start), f.start, f.label)):
-        if not any(k.start <= f.start and f.end <= k.end for k in kept):
+    for f in sorted(found, key=lambda f: (f.start, -f.end, -f.priority, f.label, -f.weight)):
+        if all(end < f.end for priority, end in furthest.items() if priority >= f.priority):
             kept.append(f)
+        furthest[f.priority] = max(furthest.get(f.priority, 0), f.end)
     return sorted(kept)
 
 
