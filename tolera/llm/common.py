@@ -5,7 +5,8 @@ ASCII white space (0x20, 0x09-0x0D), so nothing depends on the locale or on Unic
 
 *Packed shuffle*: instead of one row per token, a map task sends one binary value per (source bucket,
 target part) holding a sorted array of 64-bit keys.  This keeps a corpus-wide exchange at a few bytes a
-token, and equal keys of one bucket travel once, so that a hot key costs a part one entry per bucket.
+token, and equal keys of one bucket travel once, so that a hot key costs a part one entry per bucket.  Values never
+outnumber the keys they hold, so at worst the exchange is one of single keys.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Symbols (bytes or words) that are worked on at once.
 CHUNK = 1 << 21
+#: Bytes of text in a bucket, at most (but for a single longer text).
+BUCKET = 64 << 20
 
 _RNG = np.random.RandomState(20240229)
 #: A random 64-bit value per byte and the odd base of the polynomial hash, fixed for all time.
@@ -166,13 +169,17 @@ def rows(schema: pa.Schema, *columns: Iterable) -> pa.Table:
     return pa.table([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
 
+def buckets(docs: DataFrame) -> int:
+    """How many buckets texts are dealt into: at least the shuffle partitions, and more where a bucket would hold more than
+    ``BUCKET`` bytes, so that the memory of a task doesn't grow with the input (one extra scan sums the lengths)."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")), F.lit(0)).alias("n")).first()["n"]
+    return max(parts(docs.sparkSession), -(-int(total) // BUCKET))
+
+
 def bucketed(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text and the bucket that keeps each document's rows together."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).cast("int").alias("bucket"),
-    )
+    """doc_id, text and a bucket by the hash of both, so that rows of a repeated (or null) id are spread."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(doc_id, text), F.lit(n)).cast("int").alias("bucket"))
 
 
 def in_order(group: pa.Table) -> tuple[list, list[bytes]]:

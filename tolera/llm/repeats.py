@@ -48,6 +48,10 @@ class Spec:
     words: bool
     within: bool
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.seed <= self.width or self.choices > 64:  # a bit mask has a bit per choice
+            raise ValueError(f"windows of {self.width} symbols can't have seeds of {self.seed}")
+
     @property
     def choices(self) -> int:
         return self.width - self.seed + 1
@@ -71,6 +75,11 @@ class Runs:
         return Runs(*[a[x] for a in (self.doc, self.at, self.source, self.lo, self.hi, self.key, self.digest)], self.values)
 
 
+def spec(window: int, seed: int, words: bool, within: bool) -> Spec:
+    """Seeds of ``seed`` symbols, shorter for shorter windows and longer for windows of more than 63 symbols beyond it."""
+    return Spec(window, max(min(seed, window), window - 63), words, within)
+
+
 def symbols(texts: list[bytes], spec: Spec) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(64-bit or byte symbols, document of each, place of each in its document), piece by piece.
 
@@ -102,8 +111,8 @@ def runs(values: np.ndarray, doc: np.ndarray, place: np.ndarray, spec: Spec, dig
     n = len(values) - spec.width + 1
     if n <= 0:
         return None
-    if spec.words:
-        seeds = C.window_hash(values, spec.seed)
+    if spec.words or spec.seed != 16:
+        seeds = C.window_hash(values if spec.words else C.BYTE_CODE[values], spec.seed)
     else:
         eight = np.ndarray(len(values) - 7, np.uint64, np.ascontiguousarray(values), strides=(1,)).copy()
         with np.errstate(over="ignore"):
@@ -263,11 +272,16 @@ def interleaves(text: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield p, order
 
 
+def _starts(h: np.ndarray) -> np.ndarray:
+    """Which of some hashes in order differ from the one before."""
+    return np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+
+
 def _by_bytes(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(r, entries with a window at r in the merged order of suffixes, hashes of their windows).
+    """(r, entries with a window at r in the merged order of suffixes, which of them start an interval of equal windows).
 
-    In that order the suffixes with a common prefix of ``width`` bytes are an interval; a rolling hash of the prefix
-    tells where one ends."""
+    In that order the suffixes with a common prefix of ``width`` bytes are an interval.  A rolling hash of the prefix
+    tells most ends; where neighbours have equal hashes their bytes are compared."""
     rolling = np.zeros(len(text), np.uint64)
     code, base, out_of = C.BYTE_CODE, np.uint64(C.BASE), C.powers(width + 1, C.BASE)[width]
     with np.errstate(over="ignore"):
@@ -277,7 +291,10 @@ def _by_bytes(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, reac
                 rolling -= out_of * code[text[:, p + width]]
             if (r := p - reach) <= 0:
                 x = order[(lo[order] <= r) & (hi[order] >= r)]
-                yield r, x, rolling[x]
+                new = _starts(rolling[x])
+                for i in np.array_split(like := np.flatnonzero(~new), 1 + len(like) // PIECE):
+                    new[i] = (text[x[i], p : p + width] != text[x[i - 1], p : p + width]).any(axis=1)
+                yield r, x, new
 
 
 def _by_words(text: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -285,7 +302,7 @@ def _by_words(text: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray,
         x = np.flatnonzero((lo <= r) & (hi >= r))
         h = C.mix(text[x, r + reach] ^ C.mix(key[x], 2))
         order = np.argsort(h, kind="stable")
-        yield r, x[order], h[order]
+        yield r, x[order], _starts(h[order])
 
 
 def find_late(spec: Spec) -> Callable[[pa.Table], pa.Table]:
@@ -305,12 +322,12 @@ def find_late(spec: Spec) -> Callable[[pa.Table], pa.Table]:
         rank[by] = np.cumsum(new)
         late = np.zeros(len(key), np.uint64)
         # Words: the hash of a window comes with its entry.  Bytes: the merged order of the shards' suffixes.
-        for r, x, h in _by_words(text, key, lo, hi, reach) if spec.words else _by_bytes(text, lo, hi, spec.width, reach):
+        for r, x, new in _by_words(text, key, lo, hi, reach) if spec.words else _by_bytes(text, lo, hi, spec.width, reach):
             if len(x) < 2:
                 continue
-            head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            head = np.flatnonzero(new)
             ranks = rank[x]
-            least = np.repeat(np.minimum.reduceat(ranks, head), np.diff(np.concatenate((head, [len(h)]))))
+            least = np.repeat(np.minimum.reduceat(ranks, head), np.diff(np.concatenate((head, [len(x)]))))
             late[x[ranks > least]] |= np.uint64(1 << (r + reach))
         out, a = [], 0
         for b, d in zip(buckets, data, strict=True):
@@ -359,7 +376,7 @@ def late_cover(ids: list, texts: list[bytes], packets: pa.Table, spec: Spec, n:
 def remove(docs: DataFrame, spec: Spec, finish: Callable, schema: str, arrow: pa.Schema) -> DataFrame:
     """finish(id, text, starts, ends) -> the result's values for one document."""
     n = C.parts(docs.sparkSession)
-    by_bucket = C.bucketed(docs, n).groupBy("bucket")
+    by_bucket = C.bucketed(docs, C.buckets(docs)).groupBy("bucket")
     keys = by_bucket.applyInArrow(send_keys(spec, n), PACKET_DDL)
     shared = keys.groupBy("part").applyInArrow(find_shared, PACKET_DDL)
     entries = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(send_entries(spec, n), PACKET_DDL)
@@ -384,4 +401,4 @@ def keep_of(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(gone)[:n] == 0
 
 
-__all__ = ["Spec", "keep_of", "remove"]
+__all__ = ["Spec", "keep_of", "remove", "spec"]

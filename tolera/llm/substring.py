@@ -5,8 +5,8 @@ windows that chose it, and the maximal repeated intervals over the length thresh
 occurrence of each stays.  See ``repeats`` for the exchange.
 
 Defined results: a null or empty text has no words; a null doc_id counts as smaller than any id; rows that
-repeat a doc_id are documents at the same place, so they never remove each other; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+repeat a doc_id stand at the same place, so of their equal windows those that start later go, whichever row
+they are in, and those with equal starts stay; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ SEED = 8
 
 
 def spec(window: int = 20) -> repeats.Spec:
-    return repeats.Spec(width=window, seed=min(SEED, window), words=True, within=True)
+    return repeats.spec(window, SEED, words=True, within=True)
 
 
 def _kept(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes]:

@@ -19,7 +19,7 @@ SEED = 16  # bytes; the seed hash reads two 8-byte words
 
 
 def spec(window: int = 50) -> repeats.Spec:
-    return repeats.Spec(width=window, seed=SEED, words=False, within=False)
+    return repeats.spec(window, SEED, words=False, within=False)
 
 
 def digest(docs: DataFrame, window: int = 50) -> DataFrame:
