@@ -36,7 +36,7 @@ START, END, WHOLE = (C.mix(np.array([x], np.uint64), 99)[0] for x in (1, 2, 3))
 LOW48 = np.uint64((1 << 48) - 1)
 PACKET = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 DDL = "part int, bucket int, kind int, data binary"
-WORDS, COUNTS, PAIRS, SCORES, SUMS, TOTALS = range(6)
+WORDS, COUNTS, PAIRS, SCORES, SUMS, TOTALS, ASKED = range(7)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -229,18 +229,27 @@ def _send_pairs(model: Unigram, n: int) -> Callable[[pa.Table, pa.Table], pa.Tab
             w = b.w[x]
             known = np.where(b.local[x] > 0, b.count[w], 0).astype(np.uint32)  # only pairs seen here need p(w) there
             out.append((p, bucket, PAIRS, C.pack(b.every[u[head]], follow, b.hot[x][head].astype(np.uint8), b.keys[w] & LOW48, b.local[x], known)))
+        common = np.append(np.unique(b.every[b.u[b.hot]]), WHOLE)
+        to = C.part_of(C.mix(common, 8), n)
+        order = np.argsort(to, kind="stable")
+        out += [(p, bucket, ASKED, C.pack(common[order[x]])) for p, x in C.deal(to[order], n)]
         return _packets(out)
 
     return run
 
 
-def _count_pairs(model: Unigram, n: int) -> Callable[[pa.Table], pa.Table]:
-    """To buckets: c(u, w) of each pair; n[1..K] and the lower-order mass of each u.  To parts: sums of common u,
-    and how many pairs have counts 1 to K+1."""
+def _count_pairs(model: Unigram, n: int, far: bool) -> Callable[[pa.Table], pa.Table]:
+    """To buckets: c(u, w) of each pair; n[1..K] and the lower-order mass of each u.  With ``far``, to parts instead: sums
+    of common u, how many pairs have counts 1 to K+1, and what buckets asked for."""
 
     def run(group: pa.Table) -> pa.Table:
         part, bucket = group.column("part")[0].as_py(), group.column("bucket").to_pylist()
-        data = [C.unpack(x) for x in group.column("data").to_pylist()]
+        kind, data = group.column("kind").to_pylist(), group.column("data").to_pylist()
+        out = [(part, b, ASKED, d) for b, k, d in zip(bucket, kind, data, strict=True) if far and k == ASKED]
+        bucket = [b for b, k in zip(bucket, kind, strict=True) if k == PAIRS]
+        data = [C.unpack(d) for d, k in zip(data, kind, strict=True) if k == PAIRS]
+        if not data:
+            return _packets(out)
         head_u, follow, hot, w, local, known = (np.concatenate([d[i] for d in data]) for i in range(6))
         u_of = np.repeat(np.arange(len(head_u)), follow)
         us, u_at = np.unique(head_u, return_inverse=True)
@@ -259,18 +268,20 @@ def _count_pairs(model: Unigram, n: int) -> Callable[[pa.Table], pa.Table]:
             sums[:, r - 1] = np.bincount(owner[total == r], minlength=len(us))
         seen = total > 0
         sums[:, K] = np.bincount(owner[seen], weights=model.p(least[seen].astype(np.int64)), minlength=len(us))
-        every = np.empty(len(order), np.uint32)
-        every[order] = total[np.cumsum(new) - 1]
-        out, i, j = [], 0, 0
-        for bk, d in zip(bucket, data, strict=True):
-            k = u_at[i : i + len(d[0])]
-            small = sums[k, :K].T.astype(np.uint32).ravel()
-            out.append((part, bk, SCORES, C.pack(every[j : j + len(d[3])], small, sums[k, K])))
-            i, j = i + len(d[0]), j + len(d[3])
-        far = np.flatnonzero(common)
-        keys = np.append(us[far], WHOLE)
+        if not far:
+            every = np.empty(len(order), np.uint32)
+            every[order] = total[np.cumsum(new) - 1]
+            i, j = 0, 0
+            for bk, d in zip(bucket, data, strict=True):
+                k = u_at[i : i + len(d[0])]
+                small = sums[k, :K].T.astype(np.uint32).ravel()
+                out.append((part, bk, SCORES, C.pack(every[j : j + len(d[3])], small, sums[k, K])))
+                i, j = i + len(d[0]), j + len(d[3])
+            return _packets(out)
+        spread = np.flatnonzero(common)
+        keys = np.append(us[spread], WHOLE)
         whole = np.append(np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2], 0)[: K + 1]
-        table = np.vstack((sums[far], whole))
+        table = np.vstack((sums[spread], whole))
         to = C.part_of(C.mix(keys, 8), n)
         order = np.argsort(to, kind="stable")
         for p, x in C.deal(to[order], n):
@@ -280,19 +291,23 @@ def _count_pairs(model: Unigram, n: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _add_sums(n: int) -> Callable[[pa.Table], pa.Table]:
-    """Sums of the common contexts that a part is in charge of, to every bucket."""
-
-    def run(group: pa.Table) -> pa.Table:
-        part = group.column("part")[0].as_py()
-        data = [C.unpack(x) for x in group.column("data").to_pylist()]
-        keys, at = np.unique(np.concatenate([d[0] for d in data]), return_inverse=True)
-        rows = np.concatenate([d[1].reshape(-1, K + 1) for d in data])
-        total = np.stack([np.bincount(at, weights=rows[:, j], minlength=len(keys)) for j in range(K + 1)], axis=1)
-        data_ = C.pack(keys, total.ravel())
-        return _packets([(part, b, TOTALS, data_) for b in range(n)])
-
-    return run
+def _add_sums(group: pa.Table) -> pa.Table:
+    """Sums of the common contexts that a part is in charge of, to each bucket those that it asked for."""
+    part, kind = group.column("part")[0].as_py(), group.column("kind").to_pylist()
+    bucket, data = group.column("bucket").to_pylist(), [C.unpack(x) for x in group.column("data").to_pylist()]
+    sums = [d for d, k in zip(data, kind, strict=True) if k == SUMS]
+    if not sums:
+        return PACKET.empty_table()
+    keys, at = np.unique(np.concatenate([d[0] for d in sums]), return_inverse=True)
+    rows = np.concatenate([d[1].reshape(-1, K + 1) for d in sums])
+    total = np.stack([np.bincount(at, weights=rows[:, j], minlength=len(keys)) for j in range(K + 1)], axis=1)
+    out = []
+    for b, d, k in zip(bucket, data, kind, strict=True):
+        if k == ASKED:
+            i = np.searchsorted(keys, d[0])
+            known = keys[np.minimum(i, len(keys) - 1)] == d[0]
+            out.append((part, b, TOTALS, C.pack(d[0][known], total[i[known]].ravel())))
+    return _packets(out)
 
 
 # ---- scores -------------------------------------------------------------------------------------------------
@@ -348,10 +363,10 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     n = C.parts(docs.sparkSession)
     model = corpus(docs)
-    by_bucket = C.bucketed(docs, n).groupBy("bucket")
+    by_bucket = C.bucketed(docs, C.buckets(docs)).groupBy("bucket")
     counts = by_bucket.applyInArrow(_send_words(n, C.in_order), DDL).groupBy("part").applyInArrow(_count_words, DDL)
-    pairs = by_bucket.cogroup(counts.groupBy("bucket")).applyInArrow(_send_pairs(model, n), DDL)
-    counted = pairs.groupBy("part").applyInArrow(_count_pairs(model, n), DDL)
-    totals = counted.where(F.col("kind") == SUMS).groupBy("part").applyInArrow(_add_sums(n), DDL)
-    answers = counts.unionByName(counted.where(F.col("kind") == SCORES)).unionByName(totals)
+    sent = by_bucket.cogroup(counts.groupBy("bucket")).applyInArrow(_send_pairs(model, n), DDL)
+    by_part = sent.groupBy("part")  # one exchange, read twice
+    totals = by_part.applyInArrow(_count_pairs(model, n, True), DDL).groupBy("part").applyInArrow(_add_sums, DDL)
+    answers = counts.unionByName(by_part.applyInArrow(_count_pairs(model, n, False), DDL)).unionByName(totals)
     return by_bucket.cogroup(answers.groupBy("bucket")).applyInArrow(_score(model, n), OUT_DDL)
