@@ -123,6 +123,10 @@ def votes(features_: DataFrame) -> DataFrame:
     return features_.withColumn("_v", F.array(*[rules[k] for k in RULES]))
 
 
+#: Votes that the prior of a rule's behaviour in a class is worth.
+WEIGHT = 20.0
+#: Largest share of bad votes that a rule may cast on good documents.
+ALARM = 0.01
 #: ([class] shares, [class][rule] probability that a vote is "bad").
 Model = tuple[list[float], list[list[float]]]
 
@@ -132,19 +136,17 @@ def expect(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 80) -> Mod
 
     Class 0 is good; class i + 1 is bad in the way that rule i looks for.  Defects exclude each other more often than
     not, so one bad class with independent votes would call a document good because most rules found nothing.
-    Abstaining is no evidence.  Priors that grow with the counts keep the classes apart: a good document is rarely
-    voted bad, and a class of defects is by and large voted bad by its own rule.  Without documents the priors
-    remain."""
+    Abstaining is no evidence.  Priors are worth ``WEIGHT`` votes, however many documents there are.  What tells the
+    classes apart is a constraint on the estimates: a rule votes bad on no more than ``ALARM`` of the good documents it
+    votes on (else a common defect could as well be a habit of good documents).  Without documents the priors remain."""
     m = len(patterns[0][0]) if patterns else len(RULES)
-    total = sum(n for _, n in patterns)
     usual, own, other = 0.002, 0.97, 0.1
     first = [[usual] * m] + [[own if i == c else other for i in range(m)] for c in range(m)]
-    weight = [1.0 * total + 10] + [0.005 * total + 10] * m
     share, table = [0.8] + [0.2 / m] * m, [row[:] for row in first]
     for _ in range(rounds):
         size = [1.0] * (m + 1)
-        bad = [[p * w for p in row] for row, w in zip(first, weight, strict=True)]
-        cast = [[w] * m for w in weight]
+        bad = [[p * WEIGHT for p in row] for row in first]
+        cast = [[WEIGHT] * m for _ in first]
         for votes, n in patterns:
             z = [math.log(share[c]) + sum(math.log(table[c][i] if v < 0 else 1 - table[c][i]) for i, v in enumerate(votes) if v) for c in range(m + 1)]
             top = max(z)
@@ -158,6 +160,7 @@ def expect(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 80) -> Mod
                         bad[c][i] += w * (v < 0)
         share = [x / sum(size) for x in size]
         table = [[b / k for b, k in zip(*rows, strict=True)] for rows in zip(bad, cast, strict=True)]
+        table[0] = [min(x, ALARM) for x in table[0]]
     return share, table
 
 
