@@ -524,11 +524,93 @@ def test_classifier_without_labels_and_rows(spark):
 
 
 def test_sparse_sites_shrink_toward_their_parents(spark):
-    rows = [("big", "en", 3.0)] * 200 + [("bad", "en", -3.0)] * 200 + [("tiny", "en", -3.0)]
+    rows = [(h, "en", z) for h, z in (("big", 3.0), ("bad", -3.0), ("fair", 0.5), ("poor", -0.7)) for _ in range(200)] + [("tiny", "en", -3.0)]
     got = {r["source"]: r for r in quality.sites(spark.createDataFrame(rows, "source string, lang string, _z double")).collect()}
     assert got["bad"]["path_posterior"] < got["tiny"]["path_posterior"] < got["big"]["path_posterior"]
 
 
+def brute_sites(rows):
+    """Posterior of each (host, path, z), by loops over documents."""
+    p = [1 / (1 + math.exp(-z)) for _, _, z in rows]
+    n, mean = len(rows), (sum(p) + 1) / (len(rows) + 2)
+
+    def level(group, parent_of):
+        by = defaultdict(list)
+        for r, x in zip(rows, p, strict=True):
+            by[group(r)].append(x)
+        up = defaultdict(list)
+        for g, xs in by.items():
+            up[parent_of(g)] += xs
+        within = sum((x - sum(xs) / len(xs)) ** 2 for xs in by.values() for x in xs) / (n - len(by))
+        spread = sum(len(xs) * (sum(xs) / len(xs) - sum(up[parent_of(g)]) / len(up[parent_of(g)])) ** 2 for g, xs in by.items())
+        scale = n - sum(len(xs) ** 2 / len(up[parent_of(g)]) for g, xs in by.items())
+        between = (spread - (len(by) - len(up)) * within) / scale
+        return by, (min(1e6, max(1.0, within / between)) if between > 0 else 1e6)
+
+    hosts, a = level(lambda r: r[0], lambda g: None)
+    paths, b = level(lambda r: r[:2], lambda g: g[0])
+    odds = lambda x: math.log(x / (1 - x))
+    out = []
+    for r, x in zip(rows, p, strict=True):
+        host = (sum(hosts[r[0]]) - x + a * mean) / (len(hosts[r[0]]) - 1 + a)
+        path = (sum(paths[r[:2]]) - x + b * host) / (len(paths[r[:2]]) - 1 + b)
+        out.append(1 / (1 + math.exp(-(r[2] + odds(path) - odds(mean)))))
+    return out, a, b
+
+
+def test_classifier_posteriors_against_brute_force(spark):
+    """Null hosts and paths, ties, repeated ids: every posterior as loops have it."""
+    r = random.Random(12)
+    level = {h: r.uniform(-1.5, 3) for h in ("a", "b", "c", "d", None)}
+    rows = [(h, g, r.gauss(level[h] + (1.2 if g == "x" else -0.4), 1.0)) for h, k in (("a", 160), ("b", 40), ("c", 9), ("d", 1), (None, 30)) for g in ("x", "y", None) for _ in range(k)]
+    rows += [rows[0]] * 5
+    df = spark.createDataFrame(rows, "source string, lang string, _z double")
+    want, a, b = brute_sites(rows)
+    site = quality.sites(df)
+    one = site.first()
+    assert one["host_strength"] == pytest.approx(a, rel=1e-6) and one["path_strength"] == pytest.approx(b, rel=1e-6) and a != b
+    got = df.join(site.withColumnsRenamed(quality._SITE), quality._of_site(), "left").withColumn("quality", quality._quality()).collect()
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    assert sorted((key((r["source"], r["lang"], r["_z"])), round(r["quality"], 9)) for r in got) == sorted((key(x), round(w, 9)) for x, w in zip(rows, want, strict=True))
+
+
+def test_rule_posteriors_against_brute_force(spark):
+    """Expectation-maximisation over single documents, in numpy, against the one over counted patterns."""
+    docs = [*DOCS, *[(5000 + i, t) for i, t in enumerate(["BUY NOW !!! $$$ " * 12, "# * | # * | word " * 9, "12 34 56 78 90 11 22 33 44 55 66 77"] * 6)]]
+    got = rules.judge(frame(spark, docs)).collect()
+    v = np.array([[r[f"vote_{k}"] for k in rules.RULES] for r in got])
+    m = v.shape[1]
+    prior = np.full((m + 1, m), 0.1)
+    prior[0] = 0.002
+    prior[np.arange(1, m + 1), np.arange(m)] = 0.97
+    share, table = np.array([0.8] + [0.2 / m] * m), prior.copy()
+    bad, cast = (v == -1).astype(float), (v != 0).astype(float)
+    resp = None
+    for step in range(81):
+        z = np.log(share) + bad @ np.log(table).T + (v == 1) @ np.log(1 - table).T
+        resp = np.exp(z - z.max(axis=1, keepdims=True))
+        resp /= resp.sum(axis=1, keepdims=True)
+        if step == 80:
+            break
+        share = (1 + resp.sum(axis=0)) / (1 + resp.sum(axis=0)).sum()
+        table = (20 * prior + resp.T @ bad) / (20 + resp.T @ cast)
+        table[0] = np.minimum(table[0], 0.01)
+    assert np.allclose([r["quality"] for r in got], resp[:, 0], atol=1e-9)
+    assert [r["kept"] for r in got] == [not r["base_failed"] and q >= 0.5 for r, q in zip(got, resp[:, 0], strict=True)]
+    assert {True, False} == {r["kept"] for r in got}
+
+
+def test_the_model_is_learnt_from_the_votes():
+    """Priors of constant weight: with many documents the estimates leave them."""
+    m = len(rules.RULES)
+    half = [1] * m
+    half[3] = -1
+    two = half[:]
+    two[4] = -1
+    share, table = rules.expect([(tuple([1] * m), 50_000), (tuple(half), 3_000), (tuple(two), 7_000)])
+    assert table[4][4] > 0.6 and table[0][3] <= rules.ALARM and table[0][0] < 0.001 and share[0] > 0.8
+
+
 # ---- op8, op9 -----------------------------------------------------------------------------------------------
 
 

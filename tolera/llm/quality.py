@@ -1,10 +1,13 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 A logistic model of a document's form gives its own evidence (log odds of good).  Sites have a host level
-(``source``) and a path level (``source`` and ``lang``).  By grouped aggregation the soft counts of good documents
-of a host are shrunk toward the global share, and those of a path toward its host's posterior, with prior
-strengths estimated from how much the groups differ; sparse groups stay near their parent.  A document's
-posterior adds its path's log odds, relative to the global ones, to its own evidence.
+(``source``) and a path level (``source`` and ``lang``: the tables hold no paths, and a host's languages are its
+sections).  By grouped aggregation the soft counts of good documents of a host are shrunk toward the global share, and
+those of a path toward its host's posterior.  Each level has its own prior strength, the ratio of the variance within
+groups to the variance between them (method of moments for unequal groups), so sparse groups stay near their parent
+and groups that don't differ stay there whatever their size.  A document's posterior adds the log odds of its path,
+relative to the global ones, to its own evidence; its own soft count is left out of its host's and its path's, so
+that nothing is counted twice.
 
 The model is fitted on at most ``SAMPLE`` labelled documents, taken in the order of a hash of the id; everything
 else (site counts, shares, strengths, decisions) covers all documents.
@@ -25,8 +28,8 @@ from tolera.llm.rules import CAPITALS, DIGITS, SYMBOLS, count_of, lines, marks,
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 20_000
-#: How much of a site's log odds counts for its documents.
-SITE_WEIGHT = 0.5
+#: Largest prior strength, in documents: for levels whose groups don't differ.
+STRONGEST = 1e6
 
 FEATURES = ("symbols", "capitals", "bangs", "bars", "variety", "lines", "word_length", "short", "digits")
 #: Used where labels of both classes are missing: intercept and weights of FEATURES.
@@ -90,40 +93,63 @@ def evidence(weights: np.ndarray) -> Column:
     return F.when(F.col("_empty"), F.lit(-20.0)).otherwise(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), z)))
 
 
+def strength(within: float, between: float) -> float:
+    """Documents that a parent's share is worth, from the variances within and between groups."""
+    return min(STRONGEST, max(1.0, within / between)) if between > 0 else STRONGEST
+
+
 def sites(scored: DataFrame) -> DataFrame:
-    """(source, lang, host_posterior, path_posterior, prior) from ``scored`` (source, lang, _z).
+    """(source, lang, path_good, path_n, host_good, host_n, host_posterior, path_posterior, prior, host_strength,
+    path_strength) from ``scored`` (source, lang, _z).
 
-    Grouped sums only; the two prior strengths come from moments of the host and path shares."""
+    Grouped sums only, aggregated on the map side, so a host of any size is one row per task; the driver sees one row."""
     p = 1 / (1 + F.exp(-F.col("_z")))
-    path = scored.groupBy("source", "lang").agg(F.sum(p).alias("good"), F.count("*").alias("n"))
-    host = path.groupBy("source").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
-    total = host.agg(F.sum("host_good").alias("all_good"), F.sum("host_n").alias("all_n"), F.count("*").alias("k"), F.sum(F.col("host_good") * F.col("host_good") / F.col("host_n")).alias("sq")).first()
-    n, k = float(total["all_n"] or 0), int(total["k"] or 0)
-    mean = (float(total["all_good"] or 0) + 1) / (n + 2)
-    between = max(0.0, (float(total["sq"] or 0) - n * mean * mean) / n) if n else 0.0
-    spread = mean * (1 - mean)
-    # variance of host shares = spread * (k/n + 1/(strength + 1)), solved for the strength
-    excess = between / spread - (k / n if n else 0) if spread > 0 else 0
-    strength = min(1e4, max(2.0, 1 / excess - 1)) if excess > 0 else 1e4
-    host = host.select(F.col("source").alias("_host"), ((F.col("host_good") + strength * mean) / (F.col("host_n") + strength)).alias("host_posterior"))
-    joined = path.join(host, F.col("source").eqNullSafe(F.col("_host")))
-    return joined.select("source", "lang", "host_posterior", ((F.col("good") + strength * F.col("host_posterior")) / (F.col("n") + strength)).alias("path_posterior"), F.lit(mean).alias("prior"))
-
-
-def _site_shift() -> Column:
-    odds = lambda c: F.log(c / (1 - c))
-    inside = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(c)))
-    return SITE_WEIGHT * (odds(inside("path_posterior")) - odds(inside("prior")))
+    path = settle(scored.groupBy("source", "lang").agg(F.sum(p).alias("path_good"), F.count("*").alias("path_n"), F.sum(p * p).alias("_sq")))
+    host = path.groupBy("source").agg(F.sum("path_good").alias("host_good"), F.sum("path_n").alias("host_n")).withColumnRenamed("source", "_host")
+    joined = path.join(host, F.col("source").eqNullSafe(F.col("_host"))).drop("_host")
+    square = lambda a, n: F.col(a) * F.col(a) / F.col(n)
+    share = F.col("path_n") / F.col("host_n")  # each host's values, once a host, are sums over its paths
+    total = joined.agg(
+        F.sum("path_n").alias("n"), F.sum("path_good").alias("good"), F.sum("_sq").alias("sq"), F.count("*").alias("paths"), F.countDistinct(F.struct("source")).alias("hosts"),
+        F.sum(square("path_good", "path_n")).alias("path_sq"), F.sum(share * square("host_good", "host_n")).alias("host_sq"),
+        F.sum(F.col("path_n") * F.col("path_n") / F.col("host_n")).alias("path_nn"), F.sum(share * F.col("host_n") * F.col("host_n")).alias("host_nn"),
+    ).first()
+    n, good, paths, hosts = (float(total[c] or 0) for c in ("n", "good", "paths", "hosts"))
+    sq, path_sq, host_sq, path_nn, host_nn = (float(total[c] or 0) for c in ("sq", "path_sq", "host_sq", "path_nn", "host_nn"))
+    mean = (good + 1) / (n + 2)
+    ratio = lambda a, b, other: a / b if b > 0 else other
+    inside = ratio(sq - path_sq, n - paths, mean * (1 - mean))
+    path_strength = strength(inside, ratio(path_sq - host_sq - (paths - hosts) * inside, n - path_nn, 0.0))
+    inside = ratio(sq - host_sq, n - hosts, mean * (1 - mean))
+    host_strength = strength(inside, ratio(host_sq - ratio(good * good, n, 0.0) - (hosts - 1) * inside, n - ratio(host_nn, n, 0.0), 0.0))
+    out = joined.drop("_sq").withColumns({"prior": F.lit(mean), "host_strength": F.lit(host_strength), "path_strength": F.lit(path_strength)})
+    out = out.withColumn("host_posterior", (F.col("host_good") + F.col("host_strength") * F.col("prior")) / (F.col("host_n") + F.col("host_strength")))
+    return out.withColumn("path_posterior", (F.col("path_good") + F.col("path_strength") * F.col("host_posterior")) / (F.col("path_n") + F.col("path_strength")))
+
+
+def _quality() -> Column:
+    """Posterior of a document, from ``_z`` and its site's sums without the document itself."""
+    inside = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
+    odds = lambda c: F.log(inside(c) / (1 - inside(c)))
+    own = 1 / (1 + F.exp(-F.col("_z")))
+    host = (F.col("host_good") - own + F.col("host_strength") * F.col("prior")) / (F.col("host_n") - 1 + F.col("host_strength"))
+    path = (F.col("path_good") - own + F.col("path_strength") * host) / (F.col("path_n") - 1 + F.col("path_strength"))
+    return 1 / (1 + F.exp(-(F.col("_z") + odds(path) - odds(F.col("prior")))))
+
+
+_SITE = {"source": "_source", "lang": "_lang"}
+
+
+def _of_site() -> Column:
+    return F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, source, lang, evidence, host_posterior, path_posterior, quality, kept."""
     weights = train(docs, labels)
     scored = settle(form(docs.select("doc_id", "text", "source", "lang")).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", evidence(weights).alias("_z")))
-    site = sites(scored).withColumnsRenamed({"source": "_source", "lang": "_lang"})
-    joined = scored.join(site, F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    quality = 1 / (1 + F.exp(-(F.col("_z") + _site_shift())))
-    return joined.select("doc_id", "source", "lang", F.col("_z").alias("evidence"), "host_posterior", "path_posterior", quality.alias("quality"), (quality >= threshold).alias("kept"))
+    joined = scored.join(sites(scored).withColumnsRenamed(_SITE), _of_site(), "left").withColumn("quality", _quality())
+    return joined.select("doc_id", "source", "lang", F.col("_z").alias("evidence"), "host_posterior", "path_posterior", "quality", (F.col("quality") >= threshold).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -131,7 +157,8 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFram
     weights = train(docs, labels)
     columns = docs.columns
     scored = settle(form(docs.select("text", "source", "lang")).select("source", "lang", evidence(weights).alias("_z")))
-    site = settle(sites(scored).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), _site_shift().alias("_shift")))
-    with_z = form(docs).withColumn("_z", evidence(weights))
-    joined = with_z.join(site, F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    return joined.where(1 / (1 + F.exp(-(F.col("_z") + F.col("_shift")))) >= threshold).select(*columns)
+    site = settle(sites(scored).withColumnsRenamed(_SITE))
+    clash = [c for c in site.columns if c in columns]
+    own = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+    joined = form(own).withColumn("_z", evidence(weights)).join(site, _of_site(), "left")
+    return joined.where(_quality() >= threshold).select(*[F.col(f"_own_{c}" if c in clash else c).alias(c) for c in columns])
