@@ -49,6 +49,21 @@ class SparkOps:
     def negative_zero(self, a: Column) -> Column:
         return (a == 0.0) & (F.pow(a, F.lit(-1.0)) < 0)
 
+    def bits(self, a: Column) -> Column:
+        """Raw bits, which tell NaNs apart.  By reflection and not compiled: for branches that few rows take."""
+        return F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.coalesce(a.cast("double"), F.lit(0.0))).cast("long")
+
+    def equal_bits(self, a: Column, b: Column) -> Column:
+        return self.bits(a) == self.bits(b)
+
+    def negative(self, a: Column) -> Column:
+        """The sign bit."""
+        return self.bits(a) < 0
+
+    def fail(self, when: Column, what: str, otherwise: Column) -> Column:
+        """``otherwise``, or an error of the query where ``when`` holds (or isn't known)."""
+        return F.when(~F.coalesce(when, F.lit(True)), otherwise).otherwise(F.raise_error(F.lit(what)))
+
     def eq(self, a: Column, b: Column) -> Column:
         return ~F.isnan(a) & ~F.isnan(b) & (a == b)
 
@@ -149,6 +164,20 @@ class NumpyOps:
     def negative_zero(self, a: np.ndarray) -> np.ndarray:
         return (a == 0) & np.signbit(a)
 
+    def bits(self, a: np.ndarray) -> np.ndarray:
+        return np.asarray(a, np.float64).view(np.int64)
+
+    def equal_bits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.bits(a) == self.bits(b)
+
+    def negative(self, a: np.ndarray) -> np.ndarray:
+        return np.signbit(a)
+
+    def fail(self, when: np.ndarray, what: str, otherwise: np.ndarray) -> np.ndarray:
+        if np.any(when):
+            raise ValueError(what)
+        return otherwise
+
     def exp10(self, a: np.ndarray) -> np.ndarray:
         return np.power(10.0, a)
 
