@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,6 +130,18 @@ def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a slice's texts hold about ``limit`` bytes: copies of a batch's texts cost memory."""
+    for b in batches:
+        texts = b.column(column).cast(pa.large_binary())
+        size = np.concatenate(([0], np.cumsum(np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)))))
+        at = 0
+        while at < len(b):
+            to = max(at + 1, int(np.searchsorted(size, size[at] + limit, "right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays in one compressed value."""
     out = []

@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.slices(batches):
             fps = np.array([_fingerprint(t, words) for t in C.as_bytes(b.column("text"))], np.uint64).view(np.int64)
             yield pa.record_batch([b.column("doc_id"), pa.array(fps)], schema=arrow)
 
@@ -256,7 +256,7 @@ _ODD = np.random.RandomState(77).randint(0, 1 << 62, LEAST * TABLES).astype(np.u
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, owners, shingle hashes) of successive texts: each text's distinct word shingles in ascending
     order; a text too short for one has all its words as one, a wordless text has none."""
-    for a, z in C.chunks(texts, 1 << 20):
+    for a, z in C.chunks(texts, 1 << 18):
         begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[a:z]])[:-1]))
         starts, _, h = C.words_of(np.frombuffer(b"\n".join(texts[a:z]), np.uint8), lower=True)
         doc = np.searchsorted(begin, starts, "right") - 1
@@ -378,7 +378,7 @@ def rooted(docs: DataFrame, row: Column, words: int = 5, similarity: float = 0.8
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.xxhash64(text).alias("place"), text.alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.slices(batches):
             node, size, f, keys = wide_fingerprints(C.as_bytes(b.column("text")), words)
             yield pa.record_batch([b.column("doc_id"), b.column("row"), b.column("place"), pa.array(node.view(np.int64)), pa.array(size), pa.array([x.tobytes() for x in f], pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary())], schema=arrow)
 
@@ -427,7 +427,7 @@ def rooted(docs: DataFrame, row: Column, words: int = 5, similarity: float = 0.8
         return settle(nodes.select("node", "label", "size", "f", "keys").mapInArrow(send, "part int, data binary").groupBy("part").applyInArrow(link(all_pairs), "cell long, a long, b long").distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.slices(batches):
             for _, owner, shingle in shingle_sets(C.as_bytes(b.column("text")), words):
                 if len(owner):
                     head, total = _heads(owner)
