@@ -363,7 +363,10 @@ def neighbourhood_quantity(df: DataFrame, text: str, axes: Sequence[Any], index:
     every = sorted({*offsets, *(o for _, o in constants)})
     late = dict(late or {})
     names = df.columns
-    work = stencil.line(df, index[0], [x, *late.values()], axes[0], [o[0] for o in every], by)
+    axis = axes[0]
+    if isinstance(axis.constant, str):
+        axis = dataclasses.replace(axis, constant=F.col(late[axis.constant]))
+    work = stencil.line(df, index[0], [x, *late.values()], axis, [o[0] for o in every], by)
     read = lambda c, at: F.col(f"`{stencil.name_of(c, at)}`")
     value = qoi.evaluate(node, SPARK, lambda at: read(x, at), lambda name, at: read(x if name in ("$x", "$X") else late[name], at))
     return work.withColumn(out, F.when(F.col("_full"), value)).select(*names, out)

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tolera import api
 from tolera.api import Guards
 from tolera.functions.ieee import SPARK
-from tolera.operators import correct, intervals
-from tolera.operators.guards import All, Any_, AssumeSafe, Axis, ErrorBound, Quantity, Same, Select, Sign, Stencil
+from tolera.operators import correct, intervals, tiles
+from tolera.operators.guards import All, Any_, AssumeSafe, Axis, ErrorBound, Guard, Quantity, Same, Select, Sign, Stencil
+from tolera.sources import codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -22,7 +24,7 @@ def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet")
 
 
-lineitem, events, customer, orders, embeddings, nation = map(_table, ("lineitem", "events", "customer", "orders", "embeddings", "nation"))
+lineitem, events, customer, orders, embeddings, nation, part = map(_table, ("lineitem", "events", "customer", "orders", "embeddings", "nation", "part"))
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -251,20 +253,144 @@ query(
 )(lambda s, d: report(series(s, d), Guards([Any_([ErrorBound("abs", 0.03), Stencil("X[1] - X[0]", _axis("valid", 0, 1), "abs", 0.02)])]), "event_type", index=["event_id"]))
 query(
     "chunk_check",
-    f"select event_id//1000 chunk, bool_and(abs(x-p)<=0.0999) ok from {_SERIES} group by 1",
-)(lambda s, d: Guards([ErrorBound("abs", 0.0999)]).check_rows(series(s, d)).groupBy((F.floor(F.col("event_id") / 1000)).alias("chunk")).agg(F.bool_and("ok").alias("ok")))
+    f"with s as {_SERIES}, t as (select event_id, abs(x-p)<=0.0999 and (lead(x) over w is null or abs((lead(x) over w - x) - (lead(p) over w - p)) <= 0.0995) ok from s window w as (order by event_id)) select event_id//1000 chunk, bool_and(ok) ok from t group by 1",
+)(
+    lambda s, d: Guards([ErrorBound("abs", 0.0999), Stencil("X[1] - X[0]", _axis("valid", 0, 1), "abs", 0.0995)]).check_chunks(series(s, d), ["event_id"], [1000]).select(F.col("chunk")[0].alias("chunk"), "ok")
+)
+
+
+def _flags(s: SparkSession, d: str) -> DataFrame:
+    return series(s, d).select("event_id", (F.col("event_id") % 97 == 0).cast("double").alias("x"))
+
+
+_FRAME = Stencil("X[0] + X[3]", [Axis(0, 2, 1, "edge")], "abs", 1)
+_TOUCHED = {
+    # a window reads at -2, 0 and +1; places beyond an end are that end
+    "footprint": "with e as (select event_id i, max(event_id) over () m from events), w as (select i, least(m, greatest(0, i+o)) src from e, (values (-2), (0), (1)) t(o)) select i event_id, bool_or(src%97=0) touched from w group by i",
+    "inverse_footprint": "with e as (select event_id i, max(event_id) over () m from events), w as (select i, least(m, greatest(0, i+o)) src from e, (values (-2), (0), (1)) t(o)) select src event_id, bool_or(i%97=0) touched from w group by src",
+}
+for _name, _f in (("footprint", tiles.footprint), ("inverse_footprint", tiles.inverse_footprint)):
+    query(_name, _TOUCHED[_name])(
+        lambda s, d, f=_f: tiles.over_tiles(_flags(s, d), _FRAME, ["event_id"], None, {"x": "x"}, "float64", lambda area: {"touched": f(area, _FRAME, area.values["x"] > 0)}, [T.StructField("touched", T.BooleanType())])
+    )
+
+query("reverse_neighbourhood", "with e as (select event_id i, max(event_id) over () m from events), r as (select least(m, greatest(0, i+o)) src from e, range(-2, 2) t(o)) select src event_id, count(*) readers from r group by src")(
+    lambda s, d: tiles.reads(series(s, d), [Axis(0, 2, 1, "edge")], ["event_id"], [events(s, d).agg(F.max("event_id") + 1).first()[0]]).groupBy(F.col("_source")[0].alias("event_id")).agg(F.count("*").alias("readers"))
+)
+query("truncated_shape", f"select event_id, round((((a0+a1)+a2)+a3)/4, 9) qoi from ({_neighbours('valid', range(-2, 2))}) where a0 is not null and a3 is not null")(
+    lambda s, d: api.truncated(api.neighbourhood_quantity(series(s, d), "sum(X)/size(X)", _axis("valid", 2, 1), ["event_id"])).select("event_id", F.round("qoi", 9).alias("qoi"))
+)
+query("expanded_shape", f"select event_id, round(coalesce((((a0+a1)+a2)+a3)/4, 0), 9) qoi from ({_neighbours('valid', range(-2, 2))})")(
+    lambda s, d: api.expanded(api.neighbourhood_quantity(series(s, d), "sum(X)/size(X)", _axis("valid", 2, 1), ["event_id"])).select("event_id", F.round("qoi", 9).alias("qoi"))
+)
+
+# ---- element types and special values ---------------------------------------------------------------------------
+
+_BIG = "(select event_id, event_type, event_id * 9007199254740993 % 4611686018427387904 x, event_id * 9007199254740993 % 4611686018427387904 + event_id % 5 p from (select event_id::hugeint event_id, event_type from events))"
+
+
+@query("int64_check", f"select event_type, count(*) n, cast(sum(case when abs(x-p)<=2 then 0 else 1 end) as bigint) violations from {_BIG} group by event_type")
+def _int64(s: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id").cast("decimal(38,0)")
+    x = (e * F.lit("9007199254740993").cast("decimal(19,0)") % F.lit("4611686018427387904").cast("decimal(19,0)")).cast("long")
+    return report(events(s, d).select("event_type", x.alias("x"), (x + F.col("event_id") % 5).alias("p")), Guards([ErrorBound("abs", 2)]), "event_type")
+
+
+query("int32_check", "select p_size % 7 g, count(*) n, cast(sum(case when abs(x-p)<=x*0.1 then 0 else 1 end) as bigint) violations from (select p_size, p_size x, p_size // 3 * 3 p from part) group by 1")(
+    lambda s, d: report(part(s, d).select((F.col("p_size") % 7).alias("g"), F.col("p_size").alias("x"), (F.floor(F.col("p_size") / 3) * 3).cast("int").alias("p")), Guards([ErrorBound("rel", 0.1)]), "g")
+)
+query("float32_check", "select l_returnflag, count(*) n, cast(sum(case when abs(x::double-p::double)<=0.004 then 0 else 1 end) as bigint) violations from (select l_returnflag, l_extendedprice::float x, floor(l_extendedprice)::float p from lineitem) group by 1")(
+    lambda s, d: report(lineitem(s, d).select("l_returnflag", F.col("l_extendedprice").cast("float").alias("x"), F.floor("l_extendedprice").cast("float").alias("p")), Guards([ErrorBound("abs", 0.004)]), "l_returnflag")
+)
+_SPECIAL = "(select event_type, case event_id%7 when 0 then 'nan'::double when 1 then 'inf'::double when 2 then '-inf'::double when 3 then 0.0 else value end x, case event_id%11 when 0 then 'nan'::double when 1 then 'inf'::double when 2 then '-inf'::double when 3 then 0.0 else value end p from events)"
+
+
+def special(s: SparkSession, d: str) -> DataFrame:
+    one = lambda k: F.when(F.col("event_id") % k == 0, float("nan")).when(F.col("event_id") % k == 1, float("inf")).when(F.col("event_id") % k == 2, float("-inf")).when(F.col("event_id") % k == 3, 0.0).otherwise(F.col("value"))
+    return events(s, d).select("event_type", one(7).alias("x"), one(11).alias("p"))
+
+
+_FIN = "(isfinite(x) and isfinite(p) and abs(x-p)<=0.5) or (isinf(x) and not isnan(p) and x=p)"
+query("special_values_eb", _report(_SPECIAL, f"{_FIN} or (isnan(x) and isnan(p))", "event_type"))(lambda s, d: report(special(s, d), Guards([ErrorBound("abs", 0.5, equal_nan=True)]), "event_type"))
+query("special_values_sign", _report(_SPECIAL, "case when isnan(x) then isnan(p) when isnan(p) then false when x<1 then p<1 when x>1 then p>1 else p=1 end", "event_type"))(lambda s, d: report(special(s, d), Guards([Sign(1)]), "event_type"))
+query("special_values_same", _report(_SPECIAL, "not isinf(x) or x<0 or (isinf(p) and p>0)", "event_type"))(lambda s, d: report(special(s, d), Guards([Same(float("inf"))]), "event_type"))
+query("special_values_qoi", _report(_SPECIAL, "case when isnan(x) then isnan(p) when isinf(x) then not isnan(p) and x=p else isfinite(p) and abs(2*x-2*p)<=1 end", "event_type"))(lambda s, d: report(special(s, d), Guards([Quantity("x + x", "abs", 1)]), "event_type"))
+query("null_elements_fail", "select event_type, count(*) n, cast(sum(case when event_id%10 in (0, 3) then 1 else 0 end) as bigint) violations from events group by event_type")(
+    lambda s, d: report(events(s, d).select("event_type", F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("x"), F.when(F.col("event_id") % 10 != 3, F.col("value")).alias("p")), Guards([ErrorBound("abs", 1)]), "event_type")
+)
 
 # ---- safe sets, corrections, reports --------------------------------------------------------------------------
 
 
-@query("interval_algebra", "select event_id, event_id%7+1 a_lo, event_id%11+event_id%7+1 a_hi, greatest(event_id%7+1, event_id%5) both_lo, least(event_id%11+event_id%7+1, event_id%5+6) both_hi, case when greatest(event_id%7+1, event_id%5) <= least(event_id%11+event_id%7+1, event_id%5+6) + 1 then 1 else 2 end pieces from events")
+@query("interval_algebra", "with t as (select event_id, event_id%7+1 a, event_id%11+event_id%7+1 b, event_id%5 c, event_id%5+6 d from events), i as (select *, greatest(a,c) l, least(b,d) h from t) select event_id, case when l<=h then l end both_lo, case when l<=h then h end both_hi, case when l<=h+1 then least(a,c) else case when a<c then a else c end end first_lo, case when l<=h+1 then greatest(b,d) else case when a<c then b else d end end first_hi, case when l>h+1 then greatest(a,c) end second_lo, case when l>h+1 then greatest(b,d) end second_hi, cast(case when l<=h+1 then greatest(b,d)-least(a,c) else (b-a)+(d-c)+1 end as bigint) width from i")
 def _intervals(s: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
-    lo, hi = e % 7 + 1, e % 11 + e % 7 + 1
-    a, b = intervals.interval(lo, hi), intervals.interval(e % 5, e % 5 + 6)
-    rows = events(s, d).select("event_id", lo.alias("a_lo"), hi.alias("a_hi"), intervals.intersect(a, b).alias("both"), intervals.union(a, b).alias("either"))
-    both = F.get("both", F.lit(0))
-    return rows.select("event_id", "a_lo", "a_hi", F.coalesce(both["lo"], F.greatest(F.col("a_lo"), e % 5)).alias("both_lo"), F.coalesce(both["hi"], F.least(F.col("a_hi"), e % 5 + 6)).alias("both_hi"), F.size("either").alias("pieces"))
+    a, b = intervals.interval(e % 7 + 1, e % 11 + e % 7 + 1), intervals.interval(e % 5, e % 5 + 6)
+    rows = events(s, d).select("event_id", intervals.intersect(a, b).alias("both"), intervals.union(a, b).alias("either"))
+    end = lambda c, i, f: F.get(c, F.lit(i))[f]
+    ends = [end(c, i, f).alias(f"{n}_{f}") for n, c, i in (("both", "both", 0), ("first", "either", 0), ("second", "either", 1)) for f in ("lo", "hi")]
+    return rows.select("event_id", *ends, intervals.width(F.col("either")).cast("long").alias("width"))
+
+
+_SIZE = "(select p_partkey, p_size x from part)"
+
+
+def sizes(s: SparkSession, d: str) -> DataFrame:
+    return part(s, d).select("p_partkey", F.col("p_size").alias("x"))
+
+
+def _pieces(rows: DataFrame, guards: Guards, *keys: str, **more: object) -> DataFrame:
+    """A row per piece of each safe set: keys, piece, lo, hi."""
+    return guards.safe_sets(rows, **more).select(*keys, F.posexplode("safe").alias("piece", "_i")).select(*keys, "piece", "_i.lo", "_i.hi")  # type: ignore[arg-type]
+
+
+_INT = "(-2147483648)::bigint", "2147483647::bigint"
+
+
+def _piece_sql(*pieces: str, rows: str = _SIZE) -> str:
+    """(condition, lo, hi) of successive pieces, as SQL; pieces are numbered in order."""
+    each = " union all ".join(f"select p_partkey, ({lo})::bigint lo, ({hi})::bigint hi from {rows} where {when}" for when, lo, hi in (p.split(";") for p in pieces))
+    return f"select p_partkey, cast(row_number() over (partition by p_partkey order by lo) - 1 as int) piece, lo, hi from ({each})"
+
+
+for _name, _guard, _sql in (
+    ("eb_abs", ErrorBound("abs", 3.5), ["true;x-3;x+3"]),
+    ("eb_rel", ErrorBound("rel", 0.25), ["true;x-floor(x*0.25);x+floor(x*0.25)"]),
+    ("eb_ratio", ErrorBound("ratio", 1.5), ["true;ceil(x/1.5);floor(x*1.5)"]),
+    ("sign", Sign(25), [f"x<25;{_INT[0]};24", "x=25;25;25", f"x>25;26;{_INT[1]}"]),
+    ("same", Same(10), ["x=10;10;10", f"x<>10;{_INT[0]};{_INT[1]}"]),
+    ("same_exclusive", Same(10, exclusive=True), ["x=10;10;10", f"x<>10;{_INT[0]};9", f"x<>10;11;{_INT[1]}"]),
+    ("all", All([ErrorBound("abs", 5), Same(20, exclusive=True)]), ["x=20;20;20", "x<>20 and (x+5<20 or x-5>20);x-5;x+5", "x<>20 and x-5<20 and x+5>=20;x-5;19", "x<>20 and x-5<=20 and x+5>20;21;x+5"]),
+    ("any", Any_([ErrorBound("abs", 2), ErrorBound("ratio", 1.25)]), ["true;least(x-2,ceil(x/1.25));greatest(x+2,floor(x*1.25))"]),
+    ("assume_safe", AssumeSafe(), [f"true;{_INT[0]};{_INT[1]}"]),
+    ("qoi_floor", Quantity("floor(x/10)", "abs", 0), ["true;floor(x/10.0)*10;floor(x/10.0)*10+9"]),
+):
+    query(f"safe_{_name}", _piece_sql(*_sql))(lambda s, d, g=_guard: _pieces(sizes(s, d), Guards([g]), "p_partkey"))
+query("safe_select", _piece_sql("p_partkey%2=0;x-1;x+1", "p_partkey%2=1 and x<25;-2147483648;24", "p_partkey%2=1 and x=25;25;25", "p_partkey%2=1 and x>25;26;2147483647"))(
+    lambda s, d: _pieces(sizes(s, d).withColumn("sel", F.col("p_partkey") % 2), Guards([Select("sel", [ErrorBound("abs", 1), Sign(25)])]), "p_partkey", late={"sel": "sel"})
+)
+
+
+def _ends(s: SparkSession, d: str, guard: Guard) -> DataFrame:
+    """event_id, x and the ends of the safe set of doubles."""
+    ends = F.get(intervals.values(F.col("safe"), "float64"), F.lit(0))
+    return Guards([guard]).safe_sets(series(s, d).select("event_id", "x")).select("event_id", "x", ends["lo"].alias("lo"), ends["hi"].alias("hi"))
+
+
+query("safe_double_abs", f"select event_id, round(x-0.03, 9) lo, round(x+0.03, 9) hi from {_SERIES}")(lambda s, d: _ends(s, d, ErrorBound("abs", 0.03)).select("event_id", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi")))
+# what the quantity is at the ends of the safe set: the bound on both sides
+_INVERSES = {
+    "log10": ("log10(x)", "log10({0})"), "product": ("x * 3 / 7", "{0}*3/7"), "sum": ("x + 2*x - 5", "{0}+2*{0}-5"), "power": ("x ** 1.5", "pow({0}, 1.5)"), "square": ("square(x)", "{0}*{0}"),
+    "even": ("abs(x) + cosh(x/1000)", "abs({0})+cosh({0}/1000)"), "wave": ("sin(x/1000) * 10", "sin({0}/1000)*10"), "exp": ("exp(x/100)", "exp({0}/100)"),
+    "branch": ("where(x > 100, sqrt(x), x/50)", "case when x>100 then sqrt({0}) else {0}/50 end"),
+}
+for _name, (_text, _sql) in _INVERSES.items():
+    _value = lambda c, t=_sql: t.format(c)
+    query(f"inverse_{_name}", "select event_id, true both_within, true one_reached from events")(
+        lambda s, d, t=_text: _ends(s, d, Quantity(t, "abs", 0.001))
+        .select("event_id", *[api.quantity(t, c).alias(f"q_{c}") for c in ("x", "lo", "hi")])
+        .select("event_id", (F.greatest(F.abs(F.col("q_lo") - F.col("q_x")), F.abs(F.col("q_hi") - F.col("q_x"))) <= 0.001).alias("both_within"), (F.greatest(F.abs(F.col("q_lo") - F.col("q_x")), F.abs(F.col("q_hi") - F.col("q_x"))) > 0.00099).alias("one_reached"))
+    )
 
 
 def _corrected(rows: DataFrame, guards: Guards) -> DataFrame:
@@ -287,7 +413,54 @@ def _identity(s: SparkSession, d: str) -> DataFrame:
 @query("corrected_quantity", f"select event_type, count(*) n, cast(0 as bigint) violations from {_SERIES} group by event_type")
 def _quantity(s: SparkSession, d: str) -> DataFrame:
     guards = Guards([Quantity("floor(x/5) + log10(x)", "abs", 0.00005)])
-    return report(_corrected(series(s, d), guards).withColumn("p", F.col("x_hat")), Guards([Quantity("floor(x/5) + log10(x)", "abs", 0.000051)]), "event_type")
+    return report(_corrected(series(s, d), guards).withColumn("p", F.col("x_hat")), guards, "event_type")
+
+
+@query("corrected_by_zero_bits", "select p_partkey, x_hat, x_hat - p x_sg from (select p_partkey, p_size-10 p, p_size-2 x_hat from part)")
+def _bits(s: SparkSession, d: str) -> DataFrame:
+    """p is 10 too low, 7 to 13 more are allowed; of these 8 ends in the most zero bits."""
+    rows = sizes(s, d).withColumn("p", (F.col("x") - 10).cast("int"))
+    return _corrected(rows, Guards([ErrorBound("abs", 3)])).select("p_partkey", "x_hat", "x_sg")
+
+
+@query("corrected_neighbourhood", f"select event_type, count(*) n, cast(0 as bigint) violations, true fewer from {_SERIES} group by event_type")
+def _stencil_corrected(s: SparkSession, d: str) -> DataFrame:
+    """Every window meets its own bound, and refinement keeps more elements as they are."""
+    guards = Guards([Stencil("X[2] - X[0]", _axis("edge", 1, 1), "abs", 0.06), ErrorBound("abs", 0.2)])
+    rows = series(s, d).select("event_id", "event_type", "x", "p")
+    whole, refined = (guards.correct(rows, index=["event_id"], refine=r) for r in (False, True))
+    checked = [guards.check_rows(correct.apply(c, "p").withColumn("p", F.col("x_hat")), index=["event_id"]) for c in (whole, refined)]
+    sums = [c.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.when(F.col("ok"), 0).otherwise(1)).cast("long").alias(f"bad{i}"), F.sum((F.col("x_sg") != 0).cast("int")).alias(f"changed{i}")) for i, c in enumerate(checked)]
+    return sums[0].join(sums[1].drop("n"), "event_type").select("event_type", "n", (F.col("bad0") + F.col("bad1")).alias("violations"), (F.col("changed1") < F.col("changed0")).alias("fewer"))
+
+
+@query("corrected_plane", f"select count(*) n, cast(0 as bigint) violations from {_PLANE}")
+def _plane_corrected(s: SparkSession, d: str) -> DataFrame:
+    """A float32 grid under a Laplacian bound, corrected by tiles."""
+    fd = "finite_difference(x, order=2, accuracy=2, type=0, axis={}, grid_spacing=1)"
+    guards = Guards([Stencil(f"{fd.format(0)} + {fd.format(1)}", [Axis(0, 1, 1, "edge"), Axis(1, 1, 1, "edge")], "abs", 0.02), ErrorBound("abs", 0.05)])
+    rows = plane(s, d).select("i0", "i1", F.col("x").cast("float").alias("x"), (F.round(F.col("x") * 20) / 20).cast("float").alias("p"))
+    fixed = correct.apply(guards.correct(rows, index=["i0", "i1"]), "p").drop("p").withColumnRenamed("x_hat", "p")
+    return report(fixed, guards, index=["i0", "i1"])
+
+
+@query("correction_joined", "select c_mktsegment, count(*) n, cast(0 as bigint) violations from customer group by c_mktsegment")
+def _joined(s: SparkSession, d: str) -> DataFrame:
+    """A correction in a table of its own, applied to the prediction by key."""
+    guards = Guards([ErrorBound("abs", 0.25), Sign()])
+    rows = customer(s, d).select("c_custkey", "c_mktsegment", F.col("c_acctbal").alias("x"), F.rint("c_acctbal").alias("p"))
+    fixed = api.apply_correction(rows.select("c_custkey", "p"), guards.correct(rows).select("c_custkey", "x_sg"), ["c_custkey"])
+    return report(rows.drop("p").join(fixed.select("c_custkey", F.col("x_hat").alias("p")), "c_custkey"), guards, "c_mktsegment")
+
+
+@query("codec_round_trip", f"select event_type, count(*) n, cast(0 as bigint) violations from {_SERIES} group by event_type")
+def _codec(s: SparkSession, d: str) -> DataFrame:
+    """Arrays (one per event type) through a lossy codec under guards and back."""
+    guards = Guards([ErrorBound("rel", 0.0001), Stencil("X[1] - X[0]", _axis("valid", 0, 1), "abs", 0.02)])
+    meta = codec.Guarded(codec.Rounded(0.05), guards)
+    rows = series(s, d).select("event_type", "x", (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).cast("long").alias("i"))
+    back = codec.decode_arrays(codec.encode_arrays(rows, meta, ["event_type"], ["i"]), meta, ["event_type"], "float64", ["i"], "p")
+    return report(rows.join(back, ["event_type", "i"]), guards, "event_type", index=["i"], by=["event_type"])
 
 
 @query("fidelity_metrics", f"select count(*) n, round(avg(case when abs(x-p)<=0.05 then 0.0 else 1.0 end), 9) violation_share, round(sqrt(avg((x-p)*(x-p))), 9) rmse, round(avg(x-p), 9) bias, round(max(abs(x-p)), 9) max_error, round(avg(case when x-p=0 then 1.0 else 0.0 end), 9) exact_share from {_SERIES}")

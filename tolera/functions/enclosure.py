@@ -1,7 +1,8 @@
 """Interval arithmetic behind the interface of ``ieee``: what a quantity can be while its inputs stay in boxes.
 
-A box is a pair of arrays (lo, hi).  Results are rounded outward, by one step for what IEEE rounds correctly and by
-``SLACK`` steps for library functions, so an enclosure also holds for another library's logarithm.  NaN ends mean that
+A box is a pair of arrays (lo, hi).  Results are rounded outward: what IEEE rounds correctly by one step to the side that
+its rounding error lies on (exact results stay), library functions by ``SLACK`` steps to both sides, so that an enclosure
+also holds for another library's logarithm.  NaN ends mean that
 nothing is known.  Truth values are pairs (sure, possible).  Every operation is monotone under inclusion: a smaller box
 has a smaller enclosure, which is what lets ``inverse`` search for the largest box.
 """
@@ -40,10 +41,47 @@ def _known(lo: np.ndarray, hi: np.ndarray) -> Box:
     return Box(np.where(bad, np.nan, lo), np.where(bad, np.nan, hi))
 
 
+def _toward(value: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends around a rounded value, from its error (exact less rounded); both are moved if the error isn't known."""
+    unsure = ~np.isfinite(error) | (np.abs(value) < 1e-280) & (value != 0)
+    return np.where(unsure | (error < 0), np.nextafter(value, -np.inf), value), np.where(unsure | (error > 0), np.nextafter(value, np.inf), value)
+
+
+def _sum(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = a + b
+    c = s - a
+    return _toward(s, (a - (s - c)) + (b - c))
+
+
+def _rest(a: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """a - x * y, where that is small: the product is split into halves whose products are exact."""
+    half = lambda v: (h := v * 134217729.0, h - (h - v))[1]
+    p, xh, yh = x * y, half(x), half(y)
+    xl, yl = x - xh, y - yh
+    return (a - p) - (((xh * yh - p) + xh * yl + xl * yh) + xl * yl)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = a * b
+    zero = (p == 0) & ((a == 0) | (b == 0))
+    lo, hi = _toward(p, -_rest(p, a, b))
+    lo, hi = np.where(p == 0, np.nextafter(p, -np.inf), lo), np.where(p == 0, np.nextafter(p, np.inf), hi)
+    return np.where(zero, p, lo), np.where(zero, p, hi)
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    q = a / b
+    lo, hi = _toward(q, _rest(a, q, b) * np.sign(b))
+    lo, hi = np.where(q == 0, np.nextafter(q, -np.inf), lo), np.where(q == 0, np.nextafter(q, np.inf), hi)
+    zero = (a == 0) & (b != 0)
+    return np.where(zero, q, lo), np.where(zero, q, hi)
+
+
 def _corners(f, a: Box, b: Box) -> Box:  # noqa: ANN001
+    """Of a function that gives both ends of its value."""
     four = [f(x, y) for x in a for y in b]
-    bad = reduce(np.logical_or, [np.isnan(v) for v in four])
-    lo, hi = reduce(np.minimum, four), reduce(np.maximum, four)
+    bad = reduce(np.logical_or, [np.isnan(v[0]) | np.isnan(v[1]) for v in four])
+    lo, hi = reduce(np.minimum, [v[0] for v in four]), reduce(np.maximum, [v[1] for v in four])
     return Box(np.where(bad, np.nan, lo), np.where(bad, np.nan, hi))
 
 
@@ -100,23 +138,25 @@ class BoxOps:
     # ---- arithmetic
 
     def add(self, a: Box, b: Box) -> Box:
-        return out(*_known(a.lo + b.lo, a.hi + b.hi), 1)
+        return _known(_sum(a.lo, b.lo)[0], _sum(a.hi, b.hi)[1])
 
     def sub(self, a: Box, b: Box) -> Box:
-        return out(*_known(a.lo - b.hi, a.hi - b.lo), 1)
+        return self.add(a, self.neg(b))
 
     def neg(self, a: Box) -> Box:
         return Box(-a.hi, -a.lo)
 
     def mul(self, a: Box, b: Box) -> Box:
         if a is b:
-            return self._even(a, lambda v: v * v, 1)
-        return out(*_corners(np.multiply, a, b), 1)
+            x, y = _product(a.lo, a.lo), _product(a.hi, a.hi)
+            inside = (a.lo <= 0) & (a.hi >= 0)
+            return _known(np.where(inside, 0.0, np.minimum(x[0], y[0])), np.maximum(x[1], y[1]))
+        return _corners(_product, a, b)
 
     def div(self, a: Box, b: Box) -> Box:
         through = (b.lo <= 0) & (b.hi >= 0) & ~((b.lo == b.hi) & (a.lo == a.hi))  # a point over zero is what IEEE says
-        found = _corners(np.divide, a, b)
-        return out(np.where(through, np.nan, found.lo), np.where(through, np.nan, found.hi), 1)
+        found = _corners(_quotient, a, b)
+        return Box(np.where(through, np.nan, found.lo), np.where(through, np.nan, found.hi))
 
     def _even(self, a: Box, f, steps: int) -> Box:  # noqa: ANN001
         """A function that falls up to zero and rises from there."""
@@ -131,7 +171,7 @@ class BoxOps:
         whole = point & (b.lo == np.rint(b.lo))
         even = whole & (np.mod(b.lo, 2) == 0)
         crosses = (a.lo < 0) & (a.hi > 0)
-        plain = _corners(np.power, a, b)
+        plain = _corners(lambda x, y: (v := np.power(x, y), v), a, b)
         lo = np.where(even & crosses & (b.lo > 0), 0.0, plain.lo)
         bad = (crosses & whole & (b.lo < 0)) | ((a.lo < 0) & ~whole)
         return out(np.where(bad, np.nan, lo), np.where(bad, np.nan, plain.hi), SLACK)
@@ -140,7 +180,8 @@ class BoxOps:
         return self._even(a, np.abs, 0)
 
     def sqrt(self, a: Box) -> Box:
-        return out(*_known(np.sqrt(a.lo), np.sqrt(a.hi)), 1)
+        ends = [_toward(r, _rest(v, r, r)) for v in a for r in (np.sqrt(v),)]
+        return _known(np.where(a.lo == 0, 0.0, ends[0][0]), np.where(a.hi == 0, 0.0, ends[1][1]))
 
     def _step(self, f, a: Box) -> Box:  # noqa: ANN001
         return _known(f(a.lo), f(a.hi))

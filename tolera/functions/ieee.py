@@ -64,14 +64,16 @@ class SparkOps:
         """``otherwise``, or an error of the query where ``when`` holds (or isn't known)."""
         return F.when(~F.coalesce(when, F.lit(True)), otherwise).otherwise(F.raise_error(F.lit(what)))
 
+    # Spark has NaN equal to itself and above all else, so one side tells.
+
     def eq(self, a: Column, b: Column) -> Column:
-        return ~F.isnan(a) & ~F.isnan(b) & (a == b)
+        return (a == b) & ~F.isnan(b)
 
     def lt(self, a: Column, b: Column) -> Column:
-        return ~F.isnan(a) & ~F.isnan(b) & (a < b)
+        return (a < b) & ~F.isnan(b)
 
     def le(self, a: Column, b: Column) -> Column:
-        return ~F.isnan(a) & ~F.isnan(b) & (a <= b)
+        return (a <= b) & ~F.isnan(b)
 
     def add(self, a: Column, b: Column) -> Column:
         return a + b
@@ -86,8 +88,8 @@ class SparkOps:
         return -a
 
     def div(self, a: Column, b: Column) -> Column:
-        by_zero = F.when(F.isnan(a) | (a == 0.0), F.lit(_NAN)).otherwise(F.signum(a) * F.pow(b, F.lit(-1.0)))
-        return F.when(b == 0.0, by_zero).otherwise(a / F.nullif(b, F.lit(0.0)))
+        """Operands are named as rarely as can be, since a nested expression repeats whatever its operators do."""
+        return F.coalesce(F.try_divide(a, b), a * F.pow(b, F.lit(-1.0)))  # null only over zero, whose reciprocal is infinite
 
     def power(self, a: Column, b: Column) -> Column:
         one = (a == 1.0) | ((a == -1.0) & (F.abs(b) == F.lit(_INF)))  # the JVM has NaN for 1**NaN and (-1)**inf
@@ -97,7 +99,7 @@ class SparkOps:
         return F.abs(a)
 
     def _log(self, f, a: Column) -> Column:  # noqa: ANN001
-        return F.when(F.isnan(a) | (a < 0), F.lit(_NAN)).when(a == 0.0, F.lit(-_INF)).otherwise(f(a))
+        return F.coalesce(f(a), F.sqrt(a) - F.lit(_INF))  # null up to zero: NaN below, and at zero -inf
 
     def ln(self, a: Column) -> Column:
         return self._log(F.log, a)
@@ -124,8 +126,7 @@ class SparkOps:
         return F.rint(a)
 
     def floor(self, a: Column) -> Column:
-        r = F.rint(a)
-        return F.when(self.lt(a, r), r - 1.0).otherwise(r)
+        return F.rint(a) - F.when(a < F.rint(a), 1.0).otherwise(0.0)
 
     def ceil(self, a: Column) -> Column:
         return -self.floor(-a)

@@ -6,20 +6,34 @@ The order key of a double is its bits with negative values flipped, so that keys
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tolera.functions import kinds
+
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def key_of(x: np.ndarray) -> np.ndarray:
-    b = np.asarray(x, np.float64).view(np.int64)
-    return b ^ ((b >> 63) & np.int64(MOST))
+    """Order keys of doubles; other types are in ``functions.kinds``."""
+    return kinds.key_of(np.asarray(x, np.float64))
 
 
 def value_of(k: np.ndarray) -> np.ndarray:
-    k = np.asarray(k, np.int64)
-    return (k ^ ((k >> 63) & np.int64(MOST))).view(np.float64)
+    return kinds.value_of(k, "float64")
+
+
+def values(sets: Column, kind: str) -> Column:
+    """Safe sets with numbers for keys, as doubles."""
+
+    def run(column: pa.Array) -> pa.Array:
+        ends = column.flatten()
+        parts = [kinds.wide(kinds.value_of(ends.field(i).to_numpy(zero_copy_only=False), kind)).astype(np.float64) for i in (0, 1)]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int32)), pa.StructArray.from_arrays([pa.array(v) for v in parts], ["lo", "hi"]))
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<lo:double,hi:double>>")(sets)
 
 
 def _pair(lo: Column, hi: Column) -> Column:

@@ -1,8 +1,7 @@
 """Neighbourhoods as columns: what a row's neighbours hold, with six kinds of border.
 
-One axis: rows are cut into blocks, border rows are copied into the neighbouring block, and a window per block reads
-neighbours with lag and lead, so that no task holds the whole axis.  Several axes: the offsets in use are exploded,
-remapped at the borders, equi-joined on the source index and pivoted back.
+Rows of one axis are cut into blocks, border rows are copied into the neighbouring block, and a window per block reads
+neighbours with lag and lead, so that no task holds the whole axis.  Arrays of several axes are dealt into ``tiles``.
 """
 
 from __future__ import annotations
@@ -71,30 +70,3 @@ def line(df: DataFrame, index: str, columns: Sequence[str], axis: Axis, offsets:
     full = (i - axis.before >= 0) & (i + axis.after < n)
     df = df.withColumn("_full", full if axis.border == "valid" else F.lit(True))
     return df.where((F.col("_block") == F.col("_home")) & (F.col("_j") == i)).drop("_j", "_home", "_block", "_n")
-
-
-def grid(df: DataFrame, index: Sequence[str], columns: Sequence[str], axes: Sequence[Axis], offsets: Sequence[Sequence[int]], shape: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
-    """As ``line`` for several axes of known shape.  Of constant borders that meet in a corner, the later one counts."""
-    keys = [*by, *index]
-    wanted = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(o).alias(f"d{a}") for a, o in enumerate(off)]) for k, off in enumerate(offsets)])
-    ask = df.select(*keys, F.explode(wanted).alias("_o")).select(*keys, F.col("_o.k").alias("_k"), *[F.col(f"_o.d{a}").alias(f"_d{a}") for a in range(len(axes))])
-    constant = F.lit(None).cast("double")
-    for a, axis in enumerate(axes):
-        i = (F.col(index[axis.axis]) + F.col(f"_d{a}")).cast("long")
-        n = F.lit(shape[axis.axis]).cast("long")
-        ask = ask.withColumn(f"_s{axis.axis}", border(i, n, axis.border))
-        if axis.border == "constant":
-            constant = F.when((i < 0) | (i >= n), F.lit(axis.constant).cast("double")).otherwise(constant)
-    ask = ask.withColumn("_constant", constant)
-    touched = {axis.axis for axis in axes}
-    source = df.select(*[F.col(b).alias(f"_b_{b}") for b in by], *[F.col(c).cast("long").alias(f"_i{k}") for k, c in enumerate(index)], *[F.col(c).alias(f"_v_{c}") for c in columns])
-    on = [F.col(b) == F.col(f"_b_{b}") for b in by] + [(F.col(f"_s{k}") if k in touched else F.col(c).cast("long")) == F.col(f"_i{k}") for k, c in enumerate(index)]
-    met = ask.join(source, on, "left")
-    value = lambda c: F.when(F.col("_constant").isNotNull(), F.col("_constant")).otherwise(F.col(f"_v_{c}"))
-    wide = met.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, value(c))).alias(name_of(c, off)) for c in columns for k, off in enumerate(offsets)])
-    full = F.lit(True)
-    for axis in axes:
-        if axis.border == "valid":
-            i = F.col(index[axis.axis])
-            full = full & (i - axis.before >= 0) & (i + axis.after < shape[axis.axis])
-    return df.join(wide, keys).withColumn("_full", full)

@@ -302,6 +302,11 @@ def _spread(area: Area, g: G.Guard, flags: np.ndarray, forward: bool) -> np.ndar
         offsets = sorted({*offsets, *(o for n, o in constants if n in ("$x", "$X")), (0,) * len(axes)})
         centres = area.centres(axes)
         if forward:
+            for a in axes:  # a place beyond the ends holds an element only on a periodic axis
+                if a.border != "wrap":
+                    k = axis_of(a, area.rank)
+                    inside = (area.places(k) >= 0) & (area.places(k) < area.shape[k])
+                    flags = flags & inside.reshape([-1 if j == k else 1 for j in range(area.rank)])
             place = Area(area.first, area.core, area.shape, area.reach, area.kind, {"f": flags})
             padded = place.padded("f", [a if a.border != "constant" else G.Axis(a.axis, a.before, a.after, "valid") for a in axes])
             got = np.zeros(centres.shape, bool)

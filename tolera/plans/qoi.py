@@ -387,6 +387,8 @@ class Parser:
         if name == "where":
             return over("where", *args)
         if name in ("all", "any"):
+            if len(flat) < 2:
+                raise self.wrong(f"{name!r} needs an array of two or more", at)
             return ("both" if name == "all" else "either", *flat)
         if name == "sum":
             return total(flat)
