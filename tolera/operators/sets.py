@@ -112,6 +112,8 @@ class Safe:
         """p where it is safe, else the value of the nearest piece whose key differs from p's by the number with the
         most zero bits at its end: of the differences a..b that the piece allows, b with all bits below the highest
         one that b and a - 1 don't share set to zero."""
+        if len(self.lo) > 1:
+            self = self.tidy()  # noqa: PLW0642
         p_key = kinds.key_of(p)
         if (self.width() < 0).any():
             raise ValueError("an element has no safe value")
