@@ -784,6 +784,34 @@ def test_search_recall_on_the_given_vectors(spark):
     assert recall(spark, np.stack(x.embedding)) >= 0.9
 
 
+def test_search_recall_with_uneven_norms_and_by_visits(spark, monkeypatch):
+    r = np.random.RandomState(3)
+    centres = r.standard_normal((60, 16))
+    x = (centres[r.randint(0, 60, 6000)] + 0.4 * r.standard_normal((6000, 16))) * np.exp(0.5 * r.standard_normal((6000, 1)))
+    chosen = []
+    visits = ann.visits_for
+    monkeypatch.setattr(ann, "visits_for", lambda *a: chosen.append(visits(*a)) or chosen[-1])
+    assert recall(spark, x) >= 0.9 and chosen[0] is not None
+    monkeypatch.setattr(ann, "visits_for", lambda *a: None)  # the other way: all rows, in blocks
+    assert recall(spark, x[:2000]) == 1.0
+
+
+def test_queries_that_find_too_few_are_compared_with_all(spark, monkeypatch):
+    monkeypatch.setattr(ann, "visits_for", lambda *a: 1)
+    x = np.random.RandomState(5).standard_normal((300, 12)) * 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    few = ann.search(df, tables=1).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in few} == {q: 20 for q in range(0, 300, 20)}
+
+
+def test_vectors_of_other_lengths_and_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 9.0]), (7, [2.0, 0.0]), (7, [2.0, 0.0]), (7, [3.0, 0.0]), (40, [1.0]), (8, [5.0]), (9, [4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.search(df).collect())
+    # the query of repeated rows has the vector that comes first: [0, 9]
+    assert got == [(20, 1, 7, 0.0), (40, 1, 8, 5.0), (40, 2, 9, 4.0)]
+
+
 def test_search_leaves_out_what_is_no_vector(spark):
     bad = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [math.nan, 1.0]), (5, [math.inf, 0.0]), (None, [1.0, 1.0]), (6, [1.0])]
     good = [(20, [1.0, 0.0]), (40, [0.5, 0.5]), (7, [0.5, 0.5]), (8, [-1.0, 0.0])]

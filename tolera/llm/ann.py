@@ -6,21 +6,29 @@ table's cell is the tuple of its hashes.  A query visits, in each table, its own
 +1 in some hashes, in the estimated order of success: by the summed squared distances to the boundaries crossed,
 enumerated from a template of their expected values.  Candidates of all tables are reranked by the exact measure.
 
-The number of hashes follows the number of vectors, so that cells stay near ``CELL`` rows; cells that are larger
-all the same (equal vectors) are dealt to blocks of ``BLOCK`` rows, and probes visit every block.  Nothing is fitted
-but the count, the dimension and the largest norm; every vector is indexed.
-
-Defined results: vectors that are null, zero, of another than the most common length, or with a null or
-non-finite component take no part; null ids take no part; rows that repeat an id are separate candidates, but a query's
-own id never is one of its candidates and repeated queries are answered once; an empty table gives an empty result;
-other columns are ignored.
+The number of hashes follows the number of vectors, so that cells stay near ``CELL`` rows.  How many cells a query
+visits is measured, not fixed: for ``SAMPLE`` queries (a documented bound, those of least id hash) the true neighbours
+are found in blocks against all rows, and the fewest visits are taken that reach ``TARGET`` of them.  There is no cap: where
+queries would have to visit so many cells that they met every row ``OVER`` times, they are compared with every row once,
+in blocks; and so are single queries that found fewer than k.  Every vector is indexed.
+
+Vectors travel once to each part that holds a cell of theirs, queries once to each part that they visit, and a
+part's cells are read in place.  Cells of more than a block's rows are dealt to several parts, and probes visit all
+of these.  There are at most 2**20 such cells, as a block is at least that share of all entries, so the list of
+them is bounded, whatever the input.
+
+Defined results: vectors that are null, zero, or with a null or non-finite component take no part; null ids take no
+part; vectors of different lengths are not compared with each other; rows that repeat an id are separate candidates
+(those of equal score count once), but a query's own id never is one of its candidates, and of repeated queries the rows together
+are one query with the vector that comes first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +39,13 @@ from tolera.llm import common as C
 from tolera.llm.graph import settle
 
 CELL, BLOCK, WIDTH = 256, 4096, 1.5
-TABLES, PROBES = 12, 32
+TABLES = 12
+#: Queries whose true neighbours are looked up to choose the number of visits, and the share to be found.
+SAMPLE, TARGET = 96, 0.95
+#: How often a query may meet every row before it is better compared with all of them at once.
+OVER = 8
+#: Bytes of vectors in a part, and queries in a block, at most.
+PART, ASKED = 32 << 20, 1024
 
 
 def hashes_for(n: int) -> int:
@@ -58,13 +72,18 @@ def template(k: int, probes: int) -> list[tuple[int, ...]]:
 
 
 class Tables:
-    def __init__(self, dim: int, n: int, norm: float, tables: int = TABLES, probes: int = PROBES, seed: int = 11):
+    def __init__(self, dim: int, n: int, norm: float, tables: int = TABLES, probes: int = 1, seed: int = 11):
         self.k, self.norm, self.count = hashes_for(n), max(norm, 1e-300), tables
         rng = np.random.RandomState(seed)
         self.a = rng.standard_normal((dim + 1, tables * self.k))
         self.b = rng.uniform(0, WIDTH, tables * self.k)
-        # finer cells are each less likely to hold a neighbour, so more of them are visited
-        self.sets = template(self.k, min(4096, probes << max(0, self.k - 5)))
+        self.sets = template(self.k, probes)
+
+    def visiting(self, probes: int) -> Tables:
+        """The same tables with another number of cells that a query visits."""
+        out = copy.copy(self)
+        out.sets = template(self.k, probes)
+        return out
 
     def _project(self, x: np.ndarray, query: bool) -> np.ndarray:
         x = x / self.norm
@@ -125,57 +144,84 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return data.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """query_id, rank, vec_id, score: for rows whose vec_id is divisible by ``every``, the k nearest found."""
-    spark = vectors.sparkSession
-    n_parts = C.parts(spark)
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where(
-        "vec_id is not null and x is not null and size(x) > 0 and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('inf')) and exists(x, v -> v != 0)"
-    )
-    dims = good.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("sq")).orderBy(F.desc("n"), "dim").first()
-    out_ddl = "query_id long, rank int, vec_id long, score double"
-    if dims is None:
-        return spark.createDataFrame([], out_ddl)
-    good = good.where(F.size("x") == dims["dim"])
-    lsh = Tables(dims["dim"], dims["n"], math.sqrt(dims["sq"]), tables, probes)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cells = lsh.cells(_matrix(b.column("x")))
-            who = np.repeat(np.arange(len(b)), lsh.count)
-            yield pa.record_batch([pa.array(cells.ravel()), b.column("vec_id").take(pa.array(who)), b.column("x").take(pa.array(who))], names=["cell", "vec_id", "x"])
+def _lean(x: np.ndarray) -> np.ndarray:
+    """As floats of half the size where that loses nothing."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return small if np.array_equal(small, x) else x
+
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+PACKET = pa.schema([("part", pa.int64()), ("asks", pa.bool_()), ("data", pa.binary())])
+PACKET_DDL = "part long, asks boolean, data binary"
+FOUND = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+FOUND_DDL = "query_id long, ids array<long>, scores array<double>"
+FINAL = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
+FINAL_DDL = "query_id long, rank int, vec_id long, score double"
+
+
+def _send(keys_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], parts: int, asks: bool) -> Callable:
+    """Packets for each part: ids and vectors that have a key there, once each, and (vector, key) pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = lsh.probes(_matrix(b.column("x")))
-            at, who = np.unique(np.stack((cells.ravel(), np.repeat(np.arange(len(b)), cells.shape[1])), axis=1), axis=0).T
-            yield pa.record_batch([pa.array(at), b.column("vec_id").take(pa.array(who)), b.column("x").take(pa.array(who))], names=["cell", "vec_id", "x"])
-
-    ddl = "cell long, vec_id long, x array<double>"
-    rows = good.mapInArrow(index, ddl)
-    size = settle(rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    rows = rows.join(size, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = good.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    asked = asked.mapInArrow(visit, ddl).join(size, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    found = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
-
-    def rank(index_: pa.Table, queries: pa.Table) -> pa.Table:
-        if not len(index_) or not len(queries):
-            return found.empty_table()
-        x, q = _matrix(index_.column("x")), _matrix(queries.column("x"))
-        ids, own = index_.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
+            for at in range(0, len(b), 1024):
+                own = b.slice(at, 1024)
+                x, ids = _matrix(own.column("x")), own.column("vec_id").to_numpy()
+                who, key = keys_of(x, ids)
+                part = C.part_of(C.mix(key.view(np.uint64), 21), parts)
+                order = np.lexsort((key, who, part))
+                who, key, part = who[order], key[order], part[order]
+                lean, out = _lean(x), []
+                for p, s in C.deal_some(part):
+                    distinct, row = np.unique(who[s], return_inverse=True)
+                    out.append((p, asks, C.pack(ids[distinct], lean[distinct].ravel(), row.astype(np.uint32), key[s])))
+                if out:
+                    yield from C.rows(PACKET, *zip(*out, strict=True)).to_batches()
+
+    return run
+
+
+def _joined(data: list[list[np.ndarray]], dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, vectors, rows, keys) of a part's packets; the same vector in several packets stays several rows."""
+    ids = np.concatenate([d[0] for d in data])
+    x = np.concatenate([d[1].astype(np.float64).reshape(-1, dim) for d in data])
+    base = np.cumsum([0, *[len(d[0]) for d in data]])
+    return ids, x, np.concatenate([d[2].astype(np.int64) + o for d, o in zip(data, base, strict=False)]), np.concatenate([d[3] for d in data])
+
+
+def _compare(dim: int, k: int) -> Callable[[pa.Table], pa.Table]:
+    """The k nearest in a part for each query that visits it: all rows of the cells that it names."""
+
+    def run(group: pa.Table) -> pa.Table:
+        asks = np.array(group.column("asks").to_pylist(), bool)
+        if asks.all() or not asks.any():
+            return FOUND.empty_table()
+        data = [C.unpack(v) for v in group.column("data").to_pylist()]
+        ids, x, row, key = _joined([d for d, a in zip(data, asks, strict=True) if not a], dim)
+        order = np.argsort(key, kind="stable")
+        row, key = row[order], key[order]
+        own, q, asker, cell = _joined([d for d, a in zip(data, asks, strict=True) if a], dim)
+        first, end = np.searchsorted(key, cell, "left"), np.searchsorted(key, cell, "right")
+        hit = end > first
+        asker, first, end = asker[hit], first[hit], end[hit]
+        order = np.argsort(asker, kind="stable")
+        asker, first, end = asker[order], first[order], end[order]
+        head = np.flatnonzero(np.concatenate(([True], asker[1:] != asker[:-1]))) if len(asker) else np.zeros(0, np.int64)
         out = []
-        for a in range(0, len(q), 512):
-            rough = q[a : a + 512] @ x.T
-            for i, r in enumerate(rough, a):
-                out.append((own[i], *nearest(x, ids, q[i], own[i], k, r)))
-        return C.rows(found, *zip(*out, strict=True))
+        for a, z in zip(head.tolist(), [*head[1:].tolist(), len(asker)], strict=True):
+            i = int(asker[a])
+            rows = np.concatenate([row[f:e] for f, e in zip(first[a:z].tolist(), end[a:z].tolist(), strict=True)])
+            rows = rows if z == a + 1 else np.unique(rows)
+            near, score = nearest(x[rows], ids[rows], q[i], int(own[i]), k, x[rows] @ q[i])
+            if len(near):
+                out.append((int(own[i]), near, score))
+        return C.rows(FOUND, *zip(*out, strict=True)) if out else FOUND.empty_table()
+
+    return run
 
-    hits = rows.select("cell", "block", "vec_id", "x").groupBy("cell", "block").cogroup(asked.select("cell", "block", "vec_id", "x").groupBy("cell", "block")).applyInArrow(rank, "query_id long, ids array<long>, scores array<double>")
-    final = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def merge(group: pa.Table) -> pa.Table:
+def _merge(k: int) -> Callable[[pa.Table], pa.Table]:
+    def run(group: pa.Table) -> pa.Table:
         query = np.repeat(group.column("query_id").to_numpy(), group.column("ids").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
         ids = group.column("ids").combine_chunks().flatten().to_numpy()
         scores = group.column("scores").combine_chunks().flatten().to_numpy()
@@ -187,6 +233,149 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLE
         head = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.zeros(0, np.int64)
         place = np.arange(len(query)) - np.repeat(head, np.diff(np.concatenate((head, [len(query)])))) + 1
         x = place <= k
-        return C.rows(final, query[x], place[x], ids[x], scores[x])
+        return C.rows(FINAL, query[x], place[x], ids[x], scores[x])
+
+    return run
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score from lists of candidates."""
+    n = C.parts(found.sparkSession)
+    return found.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).groupBy("part").applyInArrow(_merge(k), FINAL_DDL)
+
 
-    return hits.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_parts)).cast("int")).groupBy("part").applyInArrow(merge, out_ddl)
+def compared_with_all(good: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> DataFrame:
+    """Lists of the k nearest of all rows: rows are dealt into slots, queries into blocks, and each block meets each slot in
+    a task of bounded size.  Rows travel once per block of queries."""
+    slots = max(C.parts(good.sparkSession), -(-n * dim * 8 // PART))
+    blocks = max(1, -(-asked.count() // ASKED))
+    mine = np.arange(blocks, dtype=np.int64)
+
+    def rows(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = (C.mix(ids.view(np.uint64), 31) % np.uint64(slots)).astype(np.int64)
+        return np.repeat(np.arange(len(ids)), blocks), (slot[:, None] * blocks + mine).ravel()
+
+    def queries(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        block = (C.mix(ids.view(np.uint64), 32) % np.uint64(blocks)).astype(np.int64)
+        return np.repeat(np.arange(len(ids)), slots), (np.arange(slots, dtype=np.int64) * blocks + block[:, None]).ravel()
+
+    # parts are the keys themselves, so that a task never holds two of them
+    sent = good.mapInArrow(_send_by_key(rows, False), PACKET_DDL).unionByName(asked.mapInArrow(_send_by_key(queries, True), PACKET_DDL))
+    return sent.groupBy("part").applyInArrow(_compare(dim, k), FOUND_DDL)
+
+
+def _send_by_key(keys_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], asks: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 4096):
+                own = b.slice(at, 4096)
+                x, ids = _matrix(own.column("x")), own.column("vec_id").to_numpy()
+                who, key = keys_of(x, ids)
+                order = np.argsort(key, kind="stable")
+                lean, out = _lean(x), []
+                for p, s in C.deal_some(key[order]):
+                    w = who[order[s]]
+                    out.append((p, asks, C.pack(ids[w], lean[w].ravel(), np.arange(len(w), dtype=np.uint32), np.full(len(w), p, np.int64))))
+                yield from C.rows(PACKET, *zip(*out, strict=True)).to_batches()
+
+    return run
+
+
+def visits_for(lsh: Tables, pairs: list[tuple[np.ndarray, np.ndarray]], most: float, target: float) -> int | None:
+    """The fewest cells per table (a power of two) that find ``target`` of true pairs (query, its neighbours' vectors); None
+    if that takes more than ``most``."""
+    probes = 1
+    q = np.stack([p[0] for p in pairs])
+    cells = [lsh.cells(p[1]) for p in pairs]
+    while probes <= most:
+        tried = lsh.visiting(probes)
+        seen = tried.probes(q).reshape(len(q), lsh.count, -1)
+        found = total = 0
+        for i, own in enumerate(cells):
+            found += int(np.any([np.isin(own[:, t], seen[i, t]) for t in range(lsh.count)], axis=0).sum())
+            total += len(own)
+        if found >= target * total:
+            return probes
+        if len(tried.sets) < probes:  # there are no more cells to visit
+            return None
+        probes *= 2
+    return None
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES, target: float = TARGET) -> DataFrame:
+    """query_id, rank, vec_id, score: for rows whose vec_id is divisible by ``every``, the k nearest found."""
+    spark = vectors.sparkSession
+    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where(
+        "vec_id is not null and x is not null and size(x) > 0 and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('inf')) and exists(x, v -> v != 0)"
+    )
+    # one row per length of vectors
+    dims = good.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("sq")).orderBy("dim").collect()
+    out = spark.createDataFrame([], FINAL_DDL)
+    for i, d in enumerate(dims):
+        part = _of_length(good.where(F.size("x") == d["dim"]), d["dim"], d["n"], math.sqrt(d["sq"]), every, k, tables, target)
+        out = part if not i else out.unionByName(part)
+    return out
+
+
+def _of_length(good: DataFrame, dim: int, n: int, norm: float, every: int, k: int, tables: int, target: float) -> DataFrame:
+    """``search`` among vectors of one length."""
+    lsh = Tables(dim, n, norm, tables)
+    first = good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
+    asked = settle(first)
+    # The true neighbours of some queries tell how far one has to look.
+    some = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    true = settle(merged(compared_with_all(good, some, dim, n, k), k).select("query_id", "vec_id").distinct())
+    of = good.join(F.broadcast(true.select("vec_id").distinct()), "vec_id").groupBy("vec_id").agg(F.min("x").alias("x"))
+    near = true.join(of, "vec_id").join(some.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), "query_id")
+    by: dict[int, tuple[np.ndarray, list]] = {}
+    for r in near.select("query_id", "q", "x").collect():  # at most SAMPLE * k rows
+        by.setdefault(r["query_id"], (np.array(r["q"], float), []))[1].append(r["x"])
+    pairs = [(q, np.array(x, float)) for q, x in by.values()]
+    visits = visits_for(lsh, pairs, OVER * (n / (tables * CELL) + 1), target) if pairs else 1
+    if visits is None:
+        return merged(compared_with_all(good, asked, dim, n, k), k)
+    lsh = lsh.visiting(visits)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, count = np.unique(lsh.cells(_matrix(b.column("x"))).ravel(), return_counts=True)
+            yield pa.record_batch([pa.array(key), pa.array(count)], names=["cell", "n"])
+
+    block = max(BLOCK, -(-n * tables >> 20))
+    large = good.select("x").mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > block).collect()  # at most 2**20
+    cell = np.array([r["cell"] for r in large], np.int64)
+    order = np.argsort(cell)
+    cell, blocks = cell[order], np.array([-(-r["n"] // block) for r in large], np.int64)[order]
+    named = good.sparkSession.sparkContext.broadcast((cell, blocks))
+
+    def blocks_of(key: np.ndarray) -> np.ndarray:
+        cell, blocks = named.value
+        if not len(cell):
+            return np.ones(len(key), np.int64)
+        at = np.minimum(np.searchsorted(cell, key), len(cell) - 1)
+        return np.where(cell[at] == key, blocks[at], 1)
+
+    def in_block(key: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return np.where(number > 0, C.mix(key.view(np.uint64) ^ C.mix(number.astype(np.uint64), 41), 42).view(np.int64), key)
+
+    def rows(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        who, key = np.repeat(np.arange(len(x)), tables), lsh.cells(x).ravel()
+        spread = C.mix(ids.view(np.uint64) ^ C.mix(np.abs(x).sum(axis=1).view(np.uint64), 44), 43)[who]
+        return who, in_block(key, (spread % blocks_of(key).astype(np.uint64)).astype(np.int64))
+
+    def queries(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = lsh.probes(x)
+        who, key = np.repeat(np.arange(len(x)), key.shape[1]), key.ravel()
+        many = blocks_of(key)
+        number = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(who, many), in_block(np.repeat(key, many), number)
+
+    parts = max(C.parts(good.sparkSession), -(-n * tables * dim * 8 // PART))
+    sent = good.mapInArrow(_send(rows, parts, False), PACKET_DDL).unionByName(asked.mapInArrow(_send(queries, parts, True), PACKET_DDL))
+    best = settle(merged(sent.groupBy("part").applyInArrow(_compare(dim, k), FOUND_DDL), k))
+    full = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = settle(asked.join(full, "vec_id", "left_anti"))
+    if short.isEmpty():
+        return best
+    rest = merged(compared_with_all(good, short, dim, n, k), k)
+    return best.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(*FINAL.names).unionByName(rest)

@@ -178,6 +178,13 @@ def deal(target: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
             yield p, slice(int(at[p]), int(at[p + 1]))
 
 
+def deal_some(target: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """As ``deal`` for few targets of many."""
+    head = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1]))) if len(target) else np.zeros(0, np.int64)
+    for a, z in zip(head.tolist(), [*head[1:].tolist(), len(target)], strict=True):
+        yield int(target[a]), slice(a, z)
+
+
 def rows(schema: pa.Schema, *columns: Iterable) -> pa.Table:
     return pa.table([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
