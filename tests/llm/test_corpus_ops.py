@@ -446,12 +446,18 @@ def test_added_tokens_are_single_ids_in_the_query(spark, tmp_path):
             assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
 
 
-@pytest.mark.parametrize("seed", range(30))
+def test_reduction_fixes_sets_of_three():
+    # beside 10 of 20 two fit, not three; 5 is as large as any that fits, and no two above 4 fit
+    count = np.bincount([10, 5, 4, 4], minlength=21)
+    assert (10, 5, 4) in {tuple(sorted(x, reverse=True)) for x, _ in packing.reduce(count, 20)}
+
+
+@pytest.mark.parametrize("seed", range(150))
 def test_reduction_keeps_an_optimum(seed):
     """On tiny instances the fixed sets and an optimal packing of what they leave need as many sequences as the optimum."""
     r = random.Random(seed)
-    capacity = 12
-    items = [r.randint(1, capacity) for _ in range(r.randint(1, 8))]
+    capacity = r.choice([12, 20, 31])
+    items = [r.randint(r.choice([1, 3, capacity // 4]), capacity) for _ in range(r.randint(1, 9))]
 
     def optimum(items):
         best = len(items)

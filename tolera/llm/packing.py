@@ -2,14 +2,18 @@
 
 A packing depends on lengths only, and there are at most ``capacity`` of them, so the instance that is solved is
 a count per length, whatever the number of documents.  The reduction (after Martello and Toth) permanently fixes
-small sets that provably dominate every alternative:
+small sets that provably dominate every alternative for one of their pieces, for any piece, not only the largest:
 
 * a piece that fills a sequence, or with which nothing else fits, stands alone;
-* two lengths that fill a sequence exactly go together (any set beside the one could take the other's place);
-* if no third piece fits beside the largest, it goes with the largest piece that fits.
+* two pieces that fill a sequence exactly go together (any set beside the one could take the other's place);
+* if no two others fit beside a piece, it goes with the largest piece that fits;
+* if two others fit but not three, it goes with the largest piece that fits if that is no smaller than the best pair, or
+  with the best pair if its larger piece is as large as any piece that fits, and no two pieces that are larger than
+  its smaller one fit.
 
-What is left is packed by best-fit decreasing, all pieces of a length at a time.  Pieces are then numbered within
-their length (in salted groups, so that a very common length is spread) and look their slots up in the plan.
+What is left is packed by best-fit decreasing, all pieces of a length at a time.  Pieces then get a number within
+their length: buckets of pieces count their lengths, running sums over the buckets give each bucket its first numbers,
+and each bucket numbers its own, so a length that many pieces share costs no task more than its share.
 
 Defined results: a null or empty text is the end token alone; null and repeated ids are packed like any other,
 one result row per piece; an empty table gives an empty result; other columns are ignored.
@@ -29,7 +33,7 @@ from tolera.llm import bpe
 from tolera.llm import common as C
 from tolera.llm.graph import settle
 
-CAPACITY, END, SALTS = 2048, 0, 32
+CAPACITY, END = 2048, 0
 #: Distinct words that a task remembers.
 KNOWN = 400_000
 
@@ -93,23 +97,54 @@ def reduce(count: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]
         fix((a, capacity - a), int(min(count[a], count[capacity - a])))
     if capacity % 2 == 0:
         fix((capacity // 2, capacity // 2), int(count[capacity // 2] // 2))
-    while len(left := np.flatnonzero(count)):
-        big = int(left[-1])
-        others = count.copy()
-        others[big] -= 1
-        rest = np.flatnonzero(others)
-        if not len(rest) or big + rest[0] > capacity:
-            fix((big,), int(count[big]) if len(rest) and rest[0] != big or 2 * big > capacity else 1)
-            continue
-        small = int(rest[0])
-        next_small = small if others[small] > 1 else int(rest[1]) if len(rest) > 1 else capacity
-        if big + small + next_small <= capacity:
-            break  # three fit: no pair is known to dominate
-        mate = int(rest[rest <= capacity - big][-1])
-        fix((big, mate), int(min(count[big], count[mate])) if mate != big else int(count[big] // 2))
+    again = True
+    while again:
+        again = False
+        for big in np.flatnonzero(count)[::-1].tolist():
+            while count[big] and (found := dominating(count, capacity, big)):
+                lengths, many = np.unique(found, return_counts=True)
+                copies = int((count[lengths] // many).min())
+                # with fewer pieces about, a set that is found once goes on dominating until one of its lengths runs out
+                fix(found, copies if len(found) < 3 else 1)
+                again = True
     return fixed
 
 
+def dominating(count: np.ndarray, capacity: int, big: int) -> tuple[int, ...] | None:
+    """A set that holds a piece of length ``big`` and dominates all others that do; None if none is known to."""
+    others = count.copy()
+    others[big] -= 1
+    room = capacity - big
+    fits = np.flatnonzero(others[: room + 1])
+    if not len(fits):
+        return (big,)
+    mate = int(fits[-1])
+    least = np.repeat(fits, np.minimum(others[fits], 3))[:3]  # the smallest others
+    if mate == room or len(least) < 2 or least[:2].sum() > room:
+        return big, mate
+    if len(least) == 3 and least.sum() <= room:
+        return None  # four fit together
+    best = max(((int(a), int(b)) for a in fits if (b := _second(others, fits, int(a), room)) is not None), key=lambda p: (sum(p), p[0]), default=None)
+    if best is None or mate >= sum(best):
+        return big, mate
+    a, b = max(best), min(best)
+    if a == mate:
+        above = np.flatnonzero(others[b + 1 : room + 1]) + b + 1
+        two = np.repeat(above, np.minimum(others[above], 2))[:2]
+        if len(two) < 2 or two.sum() > room:
+            return big, a, b
+    return None
+
+
+def _second(others: np.ndarray, fits: np.ndarray, a: int, room: int) -> int | None:
+    """The largest length, at most a, that fits beside a."""
+    top = min(a, room - a)
+    for b in fits[: np.searchsorted(fits, top, "right")][::-1].tolist():
+        if b != a or others[a] > 1:
+            return b
+    return None
+
+
 def best_fit(count: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing of counts: (lengths, copies)."""
     open_: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]  # by room that is left
@@ -159,29 +194,33 @@ def plan(count: np.ndarray, capacity: int = CAPACITY) -> dict[int, tuple[np.ndar
 
 def pack(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset; parameters as in ``pieces``."""
-    cut = settle(pieces(docs, vocab, capacity, end, added).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")))
-    # At most capacity * SALTS rows, whatever the input.
-    counted = cut.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
-    table = np.zeros((capacity + 1, SALTS), np.int64)
-    for r in counted:
-        table[r["length"], r["salt"]] = r["n"]
-    before = np.cumsum(table, axis=1) - table
-    slots = plan(table.sum(axis=1), capacity)
-    named = docs.sparkSession.sparkContext.broadcast((before, slots))
+    n = C.parts(docs.sparkSession)
+    cut = settle(pieces(docs, vocab, capacity, end, added).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).cast("int")))
+    counted = settle(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")))
+    lengths = counted.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most ``capacity`` rows
+    total = np.zeros(capacity + 1, np.int64)
+    for r in lengths:
+        total[r["length"]] = r["n"]
+    slots = plan(total, capacity)
+    named = docs.sparkSession.sparkContext.broadcast(slots)  # sets of lengths: bounded by the capacity
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")  # a row per bucket, not per piece
+    first = counted.select("bucket", "length", before.alias("before"))
     arrow = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, slots = named.value
-        for b in batches:
-            length, salt, rank = (b.column(c).to_numpy() for c in ("length", "salt", "rank"))
-            rank = rank - 1 + before[length, salt]
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for x in np.unique(length):
-                first, base, at = slots[int(x)]
-                own = np.flatnonzero(length == x)
-                k = np.searchsorted(first, rank[own], "right") - 1
-                sequence[own], offset[own] = base[k] + rank[own] - first[k], at[k]
-            yield pa.record_batch([*[b.column(f.name) for f in PIECES], pa.array(sequence), pa.array(offset)], schema=arrow)
-
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
-    return ranked.mapInArrow(place, PIECES_DDL + ", sequence_id long, offset long")
+    def place(own: pa.Table, first: pa.Table) -> pa.Table:
+        if not len(own):
+            return arrow.empty_table()
+        own = own.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")])
+        length = own.column("length").to_numpy()
+        head = np.flatnonzero(np.concatenate(([True], length[1:] != length[:-1])))
+        base = dict(zip(first.column("length").to_pylist(), first.column("before").to_pylist(), strict=True))
+        sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+        for a, z in zip(head.tolist(), [*head[1:].tolist(), len(length)], strict=True):
+            start, number, at = named.value[int(length[a])]
+            rank = base[int(length[a])] + np.arange(z - a)
+            k = np.searchsorted(start, rank, "right") - 1
+            sequence[a:z], offset[a:z] = number[k] + rank - start[k], at[k]
+        out = own.select(PIECES.names).cast(PIECES)
+        return out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).cast(arrow)
+
+    return cut.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(place, PIECES_DDL + ", sequence_id long, offset long")
