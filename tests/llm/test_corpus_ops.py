@@ -832,3 +832,31 @@ def test_queries_are_registered():
 
     names = set(queries.queries())
     assert len(names) == 10 and names | {"pipeline"} <= set(entry.queries())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_merged_transforms_against_brute_force(seed):
+    from tolera.llm import bwt
+
+    r = random.Random(seed)
+    depth = r.choice([3, 7, 12])
+    docs = [(i, "".join(r.choice("ab" if seed % 2 else "abcdé") for _ in range(r.randint(0, 60))).encode()) for i in range(24)]
+    docs += [(100, docs[3][1]), (101, b"x" + docs[3][1] + b"y"), (102, b"")]
+    r.shuffle(docs)
+    cut = [docs[k::4] for k in range(4)]
+    shards = [bwt.transform([t for _, t in c]) for c in cut]
+    shard, start = bwt.merge(shards, depth)
+    seen, rows = [0] * 4, []
+    for s in shard.tolist():  # the merged order is that of the first symbols
+        doc, at = int(shards[s].doc[seen[s]]), int(shards[s].at[seen[s]])
+        rows.append(cut[s][doc][1][at : at + depth])
+        seen[s] += 1
+    assert rows == sorted(rows)
+    assert all(new == (a != b) for a, b, new in zip(rows, rows[1:], start[1:], strict=False) if len(a) == len(b) == depth)
+    got = bwt.late(shards, [np.array([i for i, _ in c]) for c in cut], [np.array([len(t) for _, t in c]) for c in cut], depth)
+    first = {}
+    for i, t in sorted(docs):
+        for a in range(len(t) - depth + 1):
+            first.setdefault(t[a : a + depth], i)
+    for c, (doc, at) in zip(cut, got, strict=True):
+        assert sorted(zip(doc.tolist(), at.tolist(), strict=True)) == [(d, a) for d, (i, t) in enumerate(c) for a in range(len(t) - depth + 1) if first[t[a : a + depth]] < i]

@@ -119,25 +119,6 @@ class Tables:
         return np.stack(out, axis=1)
 
 
-def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products in double precision; equal rows give equal sums, wherever they stand."""
-    return (x * q[None, :]).sum(axis=1)
-
-
-def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest rows of x (score descending, id ascending); rough: scores to 1e-9 of their size."""
-    ok = np.flatnonzero(ids != own)
-    if not len(ok):
-        return ids[:0], rough[:0]
-    r = rough[ok]
-    if len(ok) > k:
-        bar = -np.partition(-r, k - 1)[k - 1]
-        ok = ok[r >= bar - 1e-9 * (1 + abs(bar))]
-    score = exact(x[ok], q)
-    order = np.lexsort((ids[ok], -score))[:k]
-    return ids[ok[order]], score[order]
-
-
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     data = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(data)
@@ -189,8 +170,55 @@ def _joined(data: list[list[np.ndarray]], dim: int) -> tuple[np.ndarray, np.ndar
     return ids, x, np.concatenate([d[2].astype(np.int64) + o for d, o in zip(data, base, strict=False)]), np.concatenate([d[3] for d in data])
 
 
+def few_of_equals(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Which rows stay if of equal vectors only those of the ``most`` smallest ids do: the others tie with them and lose."""
+    mark = (x * np.random.RandomState(7).standard_normal(x.shape[1])).sum(axis=1)
+    order = np.lexsort((ids, mark))
+    new = np.concatenate(([True], mark[order][1:] != mark[order][:-1])) if len(order) else np.zeros(0, bool)
+    like = np.flatnonzero(~new)
+    new[like] = (x[order[like]] != x[order[like - 1]]).any(axis=1)
+    same = np.concatenate(([False], ids[order][1:] == ids[order][:-1])) & ~new  # a row again
+    count = np.cumsum(~same)
+    keep = np.zeros(len(order), bool)
+    keep[order] = ~same & (count - np.repeat(count[new], np.diff(np.append(np.flatnonzero(new), len(order)))) < most)
+    return keep
+
+
+class Pool:
+    """The best rows seen of each query; ``bar`` is what a further row has to reach, less what rounding may hide."""
+
+    def __init__(self, queries: int, k: int):
+        self.bar, self.k, self.size = np.full(queries, -np.inf), k, 0
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, query: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        self.kept.append((query, row, score))
+        self.size += len(query)
+        if self.size > 1 << 21:
+            self.squeeze()
+
+    def squeeze(self) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all that may still be among the k best, by query."""
+        query, row, score = (np.concatenate([p[i] for p in self.kept] or [np.zeros(0, t)]) for i, t in enumerate((np.int64, np.int64, np.float64)))
+        order = np.lexsort((row, query))
+        query, row, score = query[order], row[order], score[order]
+        once = np.concatenate(([True], (query[1:] != query[:-1]) | (row[1:] != row[:-1]))) if len(query) else np.zeros(0, bool)
+        query, row, score = query[once], row[once], score[once]
+        order = np.lexsort((-score, query))
+        query, row, score = query[order], row[order], score[order]
+        head = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.zeros(0, np.int64)
+        full = head[np.diff(np.append(head, len(query))) >= self.k]
+        last = score[full + self.k - 1]
+        self.bar[query[full]] = last - 1e-9 * (1 + np.abs(last))
+        stay = score >= self.bar[query]
+        self.kept = [(query[stay], row[stay], score[stay])]
+        self.size = int(stay.sum())
+        return query[stay], row[stay]
+
+
 def _compare(dim: int, k: int) -> Callable[[pa.Table], pa.Table]:
-    """The k nearest in a part for each query that visits it: all rows of the cells that it names."""
+    """The k nearest in a part for each query that visits it, among all rows of the cells that it names: a cell's rows and
+    its visitors are one product of matrices."""
 
     def run(group: pa.Table) -> pa.Table:
         asks = np.array(group.column("asks").to_pylist(), bool)
@@ -198,23 +226,33 @@ def _compare(dim: int, k: int) -> Callable[[pa.Table], pa.Table]:
             return FOUND.empty_table()
         data = [C.unpack(v) for v in group.column("data").to_pylist()]
         ids, x, row, key = _joined([d for d, a in zip(data, asks, strict=True) if not a], dim)
+        stays = few_of_equals(x, ids, k + 1)[row]
+        row, key = row[stays], key[stays]
         order = np.argsort(key, kind="stable")
         row, key = row[order], key[order]
         own, q, asker, cell = _joined([d for d, a in zip(data, asks, strict=True) if a], dim)
-        first, end = np.searchsorted(key, cell, "left"), np.searchsorted(key, cell, "right")
-        hit = end > first
-        asker, first, end = asker[hit], first[hit], end[hit]
-        order = np.argsort(asker, kind="stable")
-        asker, first, end = asker[order], first[order], end[order]
-        head = np.flatnonzero(np.concatenate(([True], asker[1:] != asker[:-1]))) if len(asker) else np.zeros(0, np.int64)
+        order = np.argsort(cell, kind="stable")
+        asker, cell = asker[order], cell[order]
+        pool = Pool(len(own), k)
+        for c, visit in C.deal_some(cell):
+            who = asker[visit]
+            first, end = (int(np.searchsorted(key, c, side)) for side in ("left", "right"))
+            step = max(1, (1 << 21) // len(who))
+            for at in range(first, end, step):
+                rows = row[at : min(at + step, end)]
+                rough = q[who] @ x[rows].T
+                i, j = np.nonzero(rough >= pool.bar[who][:, None])
+                other = ids[rows[j]] != own[who[i]]
+                i, j = i[other], j[other]
+                pool.add(who[i], rows[j], rough[i, j])
+        query, rows = pool.squeeze()
+        score = np.concatenate([(x[rows[a : a + 8192]] * q[query[a : a + 8192]]).sum(axis=1) for a in range(0, len(rows), 8192)] or [np.zeros(0)])
+        order = np.lexsort((ids[rows], -score, query))
+        query, near, score = query[order], ids[rows[order]], score[order]
         out = []
-        for a, z in zip(head.tolist(), [*head[1:].tolist(), len(asker)], strict=True):
-            i = int(asker[a])
-            rows = np.concatenate([row[f:e] for f, e in zip(first[a:z].tolist(), end[a:z].tolist(), strict=True)])
-            rows = rows if z == a + 1 else np.unique(rows)
-            near, score = nearest(x[rows], ids[rows], q[i], int(own[i]), k, x[rows] @ q[i])
-            if len(near):
-                out.append((int(own[i]), near, score))
+        for i, x_ in C.deal_some(query):
+            z = min(x_.stop, x_.start + k)
+            out.append((int(own[i]), near[x_.start : z], score[x_.start : z]))
         return C.rows(FOUND, *zip(*out, strict=True)) if out else FOUND.empty_table()
 
     return run

@@ -180,7 +180,9 @@ def deal(target: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
 
 def deal_some(target: np.ndarray) -> Iterator[tuple[int, slice]]:
     """As ``deal`` for few targets of many."""
-    head = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1]))) if len(target) else np.zeros(0, np.int64)
+    if not len(target):
+        return
+    head = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1])))
     for a, z in zip(head.tolist(), [*head[1:].tolist(), len(target)], strict=True):
         yield int(target[a]), slice(a, z)
 
