@@ -234,10 +234,11 @@ for _name, (_up, _) in _TREND.items():
         f"with s as {_SERIES}, t as (select event_id, event_type, lag(x) over w x0, x x1, lead(x) over w x2, lag(p) over w p0, p p1, lead(p) over w p2 from s window w as (order by event_id)) select event_type, count(*) n, cast(sum(case when x0 is null or x2 is null or {_q('x')}={_q('p')} then 0 else 1 end) as bigint) violations from t group by event_type",
     )(lambda s, d, t=_text: report(series(s, d), Guards([Stencil(t, _axis("valid", 1, 1), "abs", 0)]), "event_type", index=["event_id"]))
 
+_MEAN5 = "((((lag({0},2) over w + lag({0},1) over w) + {0}) + lead({0},1) over w) + lead({0},2) over w)/5"
 query(
     "stencil_eb_check",
-    f"with s as {_SERIES}, t as (select event_id, event_type, x, p, avg(x) over w mx, avg(p) over w mp, count(*) over w n from s window w as (order by event_id rows between 2 preceding and 2 following)) select event_type, count(*) n, cast(sum(case when n<5 or abs(round(mx-mp, 9))<=0.05 then 0 else 1 end) as bigint) violations from t group by event_type",
-)(lambda s, d: report(series(s, d), Guards([Stencil("sum(X)/size(X)", _axis("valid", 2, 2), "abs", 0.05 + 5e-10)]), "event_type", index=["event_id"]))
+    f"with s as {_SERIES}, t as (select event_type, {_MEAN5.format('x')} mx, {_MEAN5.format('p')} mp from s window w as (order by event_id)) select event_type, count(*) n, cast(sum(case when mx is null or abs(mx-mp)<=0.05 then 0 else 1 end) as bigint) violations from t group by event_type",
+)(lambda s, d: report(series(s, d), Guards([Stencil("sum(X)/size(X)", _axis("valid", 2, 2), "abs", 0.05)]), "event_type", index=["event_id"]))
 query(
     "stencil_by_group",
     f"with s as (select *, row_number() over (partition by user_id order by event_id)-1 i from {_SERIES}), t as (select event_type, lead(x) over w - x dx, lead(p) over w - p dp from s window w as (partition by user_id order by i)) select event_type, count(*) n, cast(sum(case when dx is null or abs(dx-dp)<=0.05 then 0 else 1 end) as bigint) violations from t group by event_type",
