@@ -334,3 +334,52 @@ def test_nested_quotients_in_columns(spark):
     got = [r[0] for r in df.select(qoi.evaluate(qoi.parse(text), SPARK, lambda at: F.col("x"), None)).collect()]
     assert time.time() - t < 5
     np.testing.assert_allclose(got, qoi.evaluate(qoi.parse(text), NUMPY, lambda at: np.arange(3.0), None))
+
+
+def test_quantities_in_floats(spark):
+    """Computed in 32 bits as numpy does it in that type; corrections hold there."""
+    x = (np.random.RandomState(2).standard_normal(400) * 50).astype(np.float32)
+    p = np.round(x, 1).astype(np.float32)
+    g = Quantity("x*x/3 + x - 1/7", "abs", 0.5, qoi_dtype="float32")
+    value = lambda v: v * v / np.float32(3) + v - np.float32(1) / np.float32(7)
+    np.testing.assert_array_equal(g.value(NUMPY, kinds.wide(x), None).astype(np.float32), value(x))
+    df = arrays.elements(spark, x, p)
+    want = np.abs(value(x).astype(float) - value(p).astype(float)) <= 0.5
+    assert [r["ok"] for r in Guards([g]).check_rows(df).orderBy("i0").collect()] == want.tolist() and not want.all()
+    assert Guards([g]).check(correct.apply(Guards([g]).correct(df), "p").drop("p").withColumnRenamed("x_hat", "p"))
+    s = Stencil("X[0]*X[2]/3", [Axis(0, 1, 1, "edge")], "abs", 0.5, qoi_dtype="float32")
+    hat = correct.added(p, Guards([s]).correct_array(x, p))
+    assert Guards([s]).check_array(x, hat).all() and not Guards([s]).check_array(x, p).all()
+    with pytest.raises(GuardError):
+        Quantity("x", "abs", 1, qoi_dtype="float128")
+
+
+def test_constants_are_folded():
+    node = qoi.parse("sin(1) * x + sqrt(2) ** (1/3) - where(1 < 2, pi, x)")
+    folded = qoi.fold(node)
+    assert len(list(qoi.walk(folded))) < len(list(qoi.walk(node)))
+    x = np.linspace(-2, 2, 50)
+    np.testing.assert_array_equal(*(qoi.evaluate(n, NUMPY, lambda at: x, None) for n in (node, folded)))
+
+
+def test_quantities_as_sql_functions(spark):
+    from tolera import api
+
+    api.register_quantity(spark, "curve", 'x**2 + c["a"] - 1/2')
+    got = spark.sql("select curve(x, a) from values (2D, 1D), (3D, cast(null as double)), (double('nan'), 1D) t(x, a)").collect()
+    assert got[0][0] == 4.5 and got[1][0] is None and got[2][0] != got[2][0]
+
+
+@pytest.mark.parametrize("kind", ["float16", "float64", "int16", "uint64"])
+def test_named_sets_as_columns(spark, kind):
+    from tolera.operators import intervals
+
+    x = some(kind)
+    key = spark.createDataFrame([(i, int(k)) for i, k in enumerate(kinds.key_of(x))], "i int, k long")
+    fl = x.dtype.kind == "f"
+    nan, inf = (np.isnan(x), np.isinf(x)) if fl else (np.zeros(len(x), bool),) * 2
+    minus = np.signbit(x) if fl else np.zeros(len(x), bool)
+    for made, want in ((intervals.full_of(kind), np.ones(len(x), bool)), (intervals.finite(kind), ~nan & ~inf), (intervals.not_nan(kind), ~nan), (intervals.nans(kind), nan), (intervals.nans(kind, True, False), nan & minus), (intervals.clipped(intervals.full_of(kind), F.lit(0), F.lit(5)), (kinds.key_of(x) >= 0) & (kinds.key_of(x) <= 5))):
+        assert [r[0] for r in key.orderBy("i").select(intervals.contains(made, F.col("k"))).collect()] == want.tolist()
+    if fl:
+        assert [r[0] for r in key.orderBy("i").select(intervals.contains(intervals.infinite(kind, True), F.col("k"))).collect()] == (x == -np.inf).tolist()

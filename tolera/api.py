@@ -14,12 +14,12 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tolera.functions import kinds
-from tolera.functions.ieee import SPARK
+from tolera.functions.ieee import NUMPY, SPARK
 from tolera.operators import correct as _correct
 from tolera.operators import stencil, tiles
 from tolera.operators.guards import All, Any_, Axis, Guard, GuardError, Select, Stencil, from_config, register
@@ -346,6 +346,22 @@ def quantity(text: str, x: str = "x", late: Mapping[str, Any] | None = None) ->
     return Guards.evaluate(None, None, text, x, late)  # type: ignore[arg-type]
 
 
+def register_quantity(spark: SparkSession, name: str, text: str) -> None:
+    """Makes a pointwise quantity a function of SQL, of the data and then its late-bound constants in alphabetical order."""
+    node = qoi.fold(qoi.parse(text))
+    names = sorted({n for n, _ in qoi.used(node)[1] if n not in ("$x", "$X")})
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        x, *rest = (a.to_numpy(zero_copy_only=False) for a in arrays)
+        late = dict(zip(names, rest, strict=True))
+        with np.errstate(all="ignore"):
+            out = np.broadcast_to(np.asarray(qoi.evaluate(node, NUMPY, lambda at: x, lambda n, at: x if n in ("$x", "$X") else late[n]), np.float64), len(x))
+        null = np.logical_or.reduce([a.is_null().to_numpy(zero_copy_only=False) for a in arrays])
+        return pa.array(np.ascontiguousarray(out), mask=null, from_pandas=False)
+
+    spark.udf.register(name, F.arrow_udf(_correct._typed(run, 1 + len(names)), T.DoubleType()))
+
+
 def neighbourhood_quantity(df: DataFrame, text: str, axes: Sequence[Any], index: Sequence[str], x: str = "x", by: Sequence[str] = (), shape: Sequence[int] | None = None, late: Mapping[str, str] | None = None, out: str = "qoi") -> DataFrame:
     """df with a stencil quantity; null where a 'valid' neighbourhood doesn't fit.
 
@@ -422,4 +438,4 @@ def apply_correction(prediction: DataFrame, correction: DataFrame, index: Sequen
     return fixed.withMetadata(out, meta).select(*names, out)
 
 
-__all__ = ["Guard", "GuardError", "Guards", "apply_correction", "data_range", "expanded", "guards_of", "neighbourhood_quantity", "quantity", "register", "safeguarded", "settled", "truncated"]
+__all__ = ["Guard", "GuardError", "Guards", "apply_correction", "data_range", "expanded", "guards_of", "neighbourhood_quantity", "quantity", "register", "register_quantity", "safeguarded", "settled", "truncated"]

@@ -95,6 +95,11 @@ class BoxOps:
     def lit(self, v: float) -> Box:
         return Box(np.float64(v), np.float64(v))
 
+    def narrow(self, a: Box) -> Box:
+        """Rounding to 32 bits keeps order, so it takes ends to ends."""
+        with np.errstate(all="ignore"):
+            return Box(*[np.asarray(v, np.float64).astype(np.float32).astype(np.float64) for v in a])
+
     def where(self, c: Truth, a, b):  # noqa: ANN001, ANN201
         pick = lambda x, y, f: np.where(c.sure, x, np.where(c.possible, f(x, y), y))
         if isinstance(a, Truth):

@@ -49,6 +49,9 @@ class SparkOps:
     def negative_zero(self, a: Column) -> Column:
         return (a == 0.0) & (F.pow(a, F.lit(-1.0)) < 0)
 
+    def narrow(self, a: Column) -> Column:
+        return a.cast("float").cast("double")
+
     def bits(self, a: Column) -> Column:
         """Raw bits, which tell NaNs apart.  By reflection and not compiled: for branches that few rows take."""
         return F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.coalesce(a.cast("double"), F.lit(0.0))).cast("long")
@@ -165,6 +168,10 @@ class NumpyOps:
     def negative_zero(self, a: np.ndarray) -> np.ndarray:
         return (a == 0) & np.signbit(a)
 
+    def narrow(self, a: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return np.asarray(a, np.float64).astype(np.float32).astype(np.float64)
+
     def bits(self, a: np.ndarray) -> np.ndarray:
         return np.asarray(a, np.float64).view(np.int64)
 
@@ -191,5 +198,23 @@ class NumpyOps:
         raise AttributeError(name)
 
 
+class Narrowed:
+    """Operations of another kind with every result rounded to floats of 32 bits, as arithmetic in that type does.
+
+    Sums, products, quotients and square roots of such floats are exactly what that type gives, as doubles have more than
+    twice the digits; other functions may differ from a library's own by a last digit."""
+
+    _ROUNDED = {"lit", "add", "sub", "mul", "div", "power", "ln", "log2", "log10", "exp", "exp2", "exp10", "sqrt"}
+
+    def __init__(self, ops: object):
+        self._ops = ops
+
+    def __getattr__(self, name: str):  # noqa: ANN204
+        f = getattr(self._ops, name)
+        if name not in self._ROUNDED and name not in _SAME:
+            return f
+        return lambda *a: self._ops.narrow(f(*a))  # type: ignore[attr-defined]
+
+
 _SAME = {"sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "asinh", "acosh", "atanh"}
 SPARK, NUMPY = SparkOps(), NumpyOps()

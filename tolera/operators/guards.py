@@ -18,7 +18,7 @@ from typing import Any
 import numpy as np
 
 from tolera.functions import kinds
-from tolera.functions.ieee import NUMPY
+from tolera.functions.ieee import NUMPY, Narrowed
 from tolera.operators.sets import Safe
 from tolera.plans import qoi
 
@@ -277,8 +277,13 @@ class Sign(Guard):
 
 
 def check_dtype(name: str, path: str) -> None:
-    if name not in ("lossless", "float64"):
-        raise GuardError(f"{path}.qoi_dtype: quantities are computed in doubles ('lossless' or 'float64'), not in {name!r}")
+    if name not in ("lossless", "float64", "float32"):
+        raise GuardError(f"{path}.qoi_dtype: quantities are computed in 'float64' (also called 'lossless') or 'float32', not in {name!r}")
+
+
+def in_dtype(ops: Any, name: str) -> Any:
+    """The operations that a quantity is computed with."""
+    return Narrowed(ops) if name == "float32" else ops
 
 
 def box_set(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Safe:
@@ -317,7 +322,9 @@ class Quantity(Guard):
         return qoi.parse(self.qoi)
 
     def value(self, ops: Any, x: Any, env: Env) -> Any:
-        return qoi.evaluate(self.node, ops, lambda at: x, lambda name, at: x if name == "$x" else env(name, at))
+        own = in_dtype(ops, self.qoi_dtype)
+        read = ops.narrow if own is not ops else lambda v: v
+        return qoi.evaluate(self.node, own, lambda at: read(x), lambda name, at: read(x if name == "$x" else env(name, at)))
 
     def ok(self, ops: Any, x: Any, p: Any, env: Env) -> Any:
         own = lambda name, at: x if name == "$x" else env(name, at)
@@ -328,7 +335,7 @@ class Quantity(Guard):
 
         env = lambda name, at: of_late(name, late, len(x))
         eb = of_late(self.eb, late, len(x))
-        found = quantity_boxes(self.node, self.type, eb, lambda at: kinds.wide(x), env, np.ones(len(x), bool))
+        found = quantity_boxes(self.node, self.type, eb, lambda at: kinds.wide(x), env, np.ones(len(x), bool), self.qoi_dtype)
         return box_set(x, *found[()])
 
     def late(self) -> set[str]:
@@ -381,10 +388,16 @@ class Stencil(Guard):
     def node(self) -> qoi.Node:
         return qoi.parse(self.qoi, [(a.before, a.after) for a in self.neighbourhood])
 
+    def value(self, ops: Any, x: Callable[[tuple[int, ...]], Any], env: Env) -> Any:
+        """The quantity of windows that ``x`` and ``env`` read."""
+        own = in_dtype(ops, self.qoi_dtype)
+        read = ops.narrow if own is not ops else lambda v: v
+        return qoi.evaluate(self.node, own, lambda at: read(x(at)), lambda name, at: read(env(name, at)))
+
     def ok(self, ops: Any, x: Any, p: Any, env: Env) -> Any:
         own = lambda name, at: x(at) if name in ("$x", "$X") else env(name, at)
         centre = (0,) * len(self.neighbourhood)
-        values = [qoi.evaluate(self.node, ops, d, own) for d in (x, p)]
+        values = [self.value(ops, d, own) for d in (x, p)]
         return qoi_ok(self.type, ops, *values, error_bound(self.type, self.eb, self.kind, ops, own, centre))
 
     def late(self) -> set[str]:

@@ -48,6 +48,44 @@ def full() -> Column:
     return F.array(_pair(F.lit(LEAST), F.lit(MOST)))
 
 
+def full_of(kind: str) -> Column:
+    """Every bit pattern of an element type."""
+    low, high = kinds.key_range(kind)
+    return F.array(_pair(F.lit(low), F.lit(high)))
+
+
+def finite(kind: str) -> Column:
+    low, high = kinds.finite_range(kind)
+    return F.array(_pair(F.lit(low), F.lit(high)))
+
+
+def infinite(kind: str, negative: bool) -> Column:
+    """One infinity, exactly."""
+    key = int(kinds.key_of(np.array([-np.inf if negative else np.inf], kind))[0])
+    return F.array(_pair(F.lit(key), F.lit(key)))
+
+
+def not_nan(kind: str) -> Column:
+    if np.dtype(kind).kind != "f":
+        return full_of(kind)
+    low, high = (int(kinds.key_of(np.array([v], kind))[0]) for v in (-np.inf, np.inf))
+    return F.array(_pair(F.lit(low), F.lit(high)))
+
+
+def nans(kind: str, negative: bool = True, positive: bool = True) -> Column:
+    """NaNs of one sign or both."""
+    if np.dtype(kind).kind != "f":
+        return empty()
+    (low, high), inf = kinds.key_range(kind), int(kinds.key_of(np.array([np.inf], kind))[0])
+    pieces = [_pair(F.lit(a), F.lit(b)) for a, b, on in ((low, -inf - 2, negative), (inf + 1, high, positive)) if on]
+    return F.array(*pieces) if pieces else empty()
+
+
+def clipped(a: Column, lower: Column, upper: Column) -> Column:
+    """The members within lower..upper (keys)."""
+    return intersect(a, interval(lower, upper))
+
+
 def interval(lo: Column, hi: Column) -> Column:
     return F.when(lo <= hi, F.array(_pair(lo, hi))).otherwise(empty())
 

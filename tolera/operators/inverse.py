@@ -77,19 +77,22 @@ def boxes(fits: Callable[[dict[Any, Box]], np.ndarray], leaves: Leaves, active:
         return {k: Box(np.where(ok, b.lo, x[k]), np.where(ok, b.hi, x[k])) for k, b in found.items()}
 
 
-def quantity_boxes(node: qoi.Node, kind: str, eb: np.ndarray, x: Callable[[tuple[int, ...]], np.ndarray], env: Callable[[str, tuple[int, ...]], np.ndarray], active: np.ndarray, is_data: Callable[[str], bool] = lambda n: n in ("$x", "$X")) -> dict[tuple[int, ...], Box]:
+def quantity_boxes(node: qoi.Node, kind: str, eb: np.ndarray, x: Callable[[tuple[int, ...]], np.ndarray], env: Callable[[str, tuple[int, ...]], np.ndarray], active: np.ndarray, dtype: str = "float64") -> dict[tuple[int, ...], Box]:
     """For every offset that the quantity reads, the box of its data.  ``env`` gives constants, whose boxes are points."""
+    is_data = lambda n: n in ("$x", "$X")
+    plain, boxed = G.in_dtype(NUMPY, dtype), G.in_dtype(BOX, dtype)
+    read = (lambda v: v) if plain is NUMPY else lambda v: (BOX if isinstance(v, Box) else NUMPY).narrow(v)
     offsets, constants = qoi.used(node)
     data = sorted({*offsets, *(o for n, o in constants if is_data(n))})
     leaves = {o: np.asarray(x(o), np.float64) for o in data}
     fixed = {(n, o): np.asarray(env(n, o), np.float64) for n, o in constants if not is_data(n)}
     with np.errstate(all="ignore"):
-        value = np.broadcast_to(np.asarray(qoi.evaluate(node, NUMPY, lambda o: leaves[o], lambda n, o: leaves[o] if is_data(n) else fixed[n, o]), np.float64), active.shape)
+        value = np.broadcast_to(np.asarray(qoi.evaluate(node, plain, lambda o: read(leaves[o]), lambda n, o: read(leaves[o] if is_data(n) else fixed[n, o])), np.float64), active.shape)
     lo, hi = bounds_of(kind, np.where(np.isfinite(value), value, 0.0), eb)
     active = active & np.isfinite(value)
 
     def fits(box: dict[Any, Box]) -> np.ndarray:
-        got = qoi.evaluate(node, BOX, lambda o: box[o], lambda n, o: box[o] if is_data(n) else Box(fixed[n, o], fixed[n, o]))
+        got = qoi.evaluate(node, boxed, lambda o: read(box[o]), lambda n, o: read(box[o] if is_data(n) else Box(fixed[n, o], fixed[n, o])))
         return np.broadcast_to((got.lo >= lo) & (got.hi <= hi), active.shape)
 
     return boxes(fits, leaves, active, sides=len(data) == 1)

@@ -178,7 +178,7 @@ class Area:
             return self.window(pads[name], s.neighbourhood, at, margin)
 
         with np.errstate(all="ignore"):
-            value = qoi.evaluate(s.node, NUMPY, lambda at: read(of, at), lambda name, at: read(of if name in ("$x", "$X") else name, at))
+            value = s.value(NUMPY, lambda at: read(of, at), lambda name, at: read(of if name in ("$x", "$X") else name, at))
         return np.broadcast_to(np.asarray(value, np.float64), self.centres(s.neighbourhood, margin).shape)
 
     def ok(self, g: G.Guard, p: str = "p", margin: int = 0) -> np.ndarray:
@@ -248,7 +248,7 @@ class Area:
             eb = G.error_bound(s.type, s.eb, s.kind, NUMPY, lambda name, at: np.where(active, eb, 1.0))
         flat = lambda a: np.ascontiguousarray(a).ravel()
         read = lambda name, at: self.window(pads[name], axes, at)
-        found = quantity_boxes(s.node, s.type, flat(np.broadcast_to(eb, active.shape)), lambda at: flat(kinds.wide(read("x", at))), lambda name, at: flat(read(name, at)), flat(active))
+        found = quantity_boxes(s.node, s.type, flat(np.broadcast_to(eb, active.shape)), lambda at: flat(kinds.wide(read("x", at))), lambda name, at: flat(read(name, at)), flat(active), s.qoi_dtype)
         least, most = kinds.key_range(self.kind)
         low, high = np.full(self.size, least, np.int64), np.full(self.size, most, np.int64)
         room = np.full(active.shape, np.inf)

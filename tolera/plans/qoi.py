@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 from fractions import Fraction
 from typing import Any
 
+import numpy as np
+
 Node = tuple
 _TOKEN = re.compile(r'\s+|#[^\n]*|(?P<num>\d+\.\d+(?:[eE][+-]?\d+)?|\d+(?:[eE][+-]?\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<str>"\$?[A-Za-z_]\w*")|(?P<op>\*\*|[<>=!]=|[-+*/<>()\[\],:;=.])')
 UNARY = {"ln", "log2", "log10", "exp", "exp2", "exp10", "sqrt", "square", "reciprocal", "abs", "sign", "floor", "ceil", "trunc", "round_ties_even", "sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "asinh", "acosh", "atanh", "isfinite", "isinf", "isnan", "not"}
@@ -466,6 +468,19 @@ def parse(text: str, around: Sequence[tuple[int, int]] | None = None) -> Node:
     return Parser(text, around).parse()
 
 
+def fold(node: Node) -> Node:
+    """The same quantity with subtrees of constants computed once; equal to evaluating them."""
+    from tolera.functions.ieee import NUMPY
+
+    if node[0] in ("num", "x", "c"):
+        return node
+    parts = [fold(n) for n in node[1:]]
+    if all(p[0] == "num" for p in parts):
+        with np.errstate(all="ignore"):
+            return num(float(evaluate((node[0], *parts), NUMPY, lambda at: None, lambda name, at: None)))
+    return (node[0], *parts)
+
+
 def used(node: Node) -> tuple[list[tuple[int, ...]], list[tuple[str, tuple[int, ...]]]]:
     """Offsets of the data and (name, offset) of the constants that a quantity reads."""
     return sorted({n[1] for n in walk(node) if n[0] == "x"}), sorted({(n[1], n[2]) for n in walk(node) if n[0] == "c"})
