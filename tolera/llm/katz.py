@@ -93,7 +93,11 @@ def tokens(ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
         start = np.zeros(len(out), bool)
         start[np.cumsum(count + 1) - count - 1] = True
         word.append(out), first.append(start), doc.append(owner), train.append(learn[owner])
-    return tuple(np.concatenate(x) for x in (word, first, doc, train))  # type: ignore[return-value]
+    whole = []
+    for pieces in (word, first, doc, train):
+        whole.append(np.concatenate(pieces))
+        pieces.clear()
+    return tuple(whole)  # type: ignore[return-value]
 
 
 def _packets(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -108,10 +112,23 @@ def _of_kind(packets: pa.Table, kind: int) -> dict[int, list[np.ndarray]]:
 # ---- words --------------------------------------------------------------------------------------------------
 
 
+def _distinct(x: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values ascending, how often each is in training, the number of each place's value; lean on memory."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(x) else np.zeros(0, bool)
+    head = np.flatnonzero(new)
+    values = ordered[head]
+    del ordered
+    at = np.empty(len(x), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    count = np.add.reduceat(train[order], head, dtype=np.int64).astype(np.uint32) if len(x) else np.zeros(0, np.uint32)
+    return values, count, at
+
+
 def _word_counts(word: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words ascending, their local training counts, the number of each token's word."""
-    keys, at = np.unique(word, return_inverse=True)
-    return keys, np.bincount(at, weights=train, minlength=len(keys)).astype(np.uint32), at
+    return _distinct(word, train)
 
 
 def _send_words(n: int, seen: Callable[[pa.Table], tuple[list, list[bytes]]]) -> Callable[[pa.Table], pa.Table]:
@@ -192,8 +209,8 @@ class Bucket:
 
     def __init__(self, ids: list, texts: list[bytes], packets: pa.Table, model: Unigram, n: int):
         word, starts, self.doc, train = tokens(ids, texts)
+        texts.clear()  # not needed again, and a task's memory is short
         self.keys, _, self.word = _word_counts(word, train)
-        self.word = self.word.astype(np.int32)
         del word
         answers = _of_kind(packets, COUNTS)
         self.count = np.concatenate([answers[p][0] for p in sorted(answers)]).astype(np.int64)
@@ -203,9 +220,10 @@ class Bucket:
         # a start is followed by a token in every training text, as often as there are ends
         at = np.searchsorted(self.keys, END)
         self.seen = np.append(self.count, self.count[at] if at < len(self.keys) and self.keys[at] == END else 0)
-        uniq, self.pair = np.unique(context.astype(np.int64) * len(self.keys) + self.word, return_inverse=True)
-        local = np.bincount(self.pair, weights=train, minlength=len(uniq)).astype(np.uint32)
-        u, w = uniq // len(self.keys), uniq % len(self.keys)
+        uniq, local, self.pair = _distinct(context.astype(np.int64) * len(self.keys) + self.word, train)
+        del context
+        u, w = (uniq // len(self.keys)).astype(np.int32), (uniq % len(self.keys)).astype(np.int32)
+        del uniq
         hot = self.seen[u] > max(1000, model.n // (4 * n))
         part = C.part_of(np.where(hot, C.mix(every[u] ^ C.mix(self.keys[w], 5), 6), C.mix(every[u], 7)), n)
         order = np.lexsort((self.keys[w], every[u], part))
