@@ -860,3 +860,61 @@ def test_merged_transforms_against_brute_force(seed):
             first.setdefault(t[a : a + depth], i)
     for c, (doc, at) in zip(cut, got, strict=True):
         assert sorted(zip(doc.tolist(), at.tolist(), strict=True)) == [(d, a) for d, (i, t) in enumerate(c) for a in range(len(t) - depth + 1) if first[t[a : a + depth]] < i]
+
+
+class Recursive:
+    """Katz backoff of any order, token by token."""
+
+    def __init__(self, texts, order):
+        self.order, self.c = order, [Counter() for _ in range(order + 1)]
+        for t in texts:
+            s = ["<s>"] * (order - 1) + WORD.findall(lower(t)) + ["</s>"]
+            for i in range(order - 1, len(s)):
+                for m in range(1, order + 1):
+                    self.c[m][tuple(s[i - m + 1 : i + 1])] += 1
+        self.d = [None] + [good_turing(c.values()) for c in self.c[1:]]
+        self.after = defaultdict(list)
+        for m in range(2, order + 1):
+            for g in self.c[m]:
+                self.after[g[:-1]].append(g[-1])
+        self.n = sum(self.c[1].values())
+
+    def p(self, g):
+        m, c = len(g), self.c[len(g)]
+        if m == 1:
+            left = self.n - sum(map(self.d[1], c.values()))
+            total, left = (self.n, left / self.n) if left > 1e-9 else (self.n + 1, 1 / (self.n + 1))
+            return self.d[1](c[g]) / total if g in c else left
+        if g[:-1] not in self.after:
+            return self.p(g[1:])
+        seen = [(*g[:-1], w) for w in self.after[g[:-1]]]
+        n = sum(c[s] for s in seen)
+        left = n - sum(self.d[m](c[s]) for s in seen)
+        total, left = (n, left) if left > 1e-9 else (n + 1, 1.0)
+        return self.d[m](c[g]) / total if g in c else left / total / (1 - sum(self.p(s[1:]) for s in seen)) * self.p(g[1:])
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_tables_of_any_order(spark, order):
+    from tolera.llm import katz_tables
+
+    docs = [(i, t) for i, t in DOCS if len(t or "") < 900]
+    m = Recursive([t for i, t in docs if not katz.held_out(i)], order)
+    words = list(m.c[1])[:40]
+    for ctx in [("<s>",) * (order - 1), *[g[:-1] for g in list(m.c[order])[5:25]]]:
+        assert sum(m.p((*ctx, w[0])) for w in m.c[1]) + m.p((*ctx, "not a word")) == pytest.approx(1, abs=1e-9) and words
+    got = by_id(katz_tables.score(frame(spark, docs), order))
+    for i, t in docs:
+        s = ["<s>"] * (order - 1) + WORD.findall(lower(t)) + ["</s>"]
+        want = sum(math.log10(m.p(tuple(s[k - order + 1 : k + 1]))) for k in range(order - 1, len(s)))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-9) and got[i]["n_tokens"] == len(s) - order + 1 and got[i]["held_out"] == katz.held_out(i)
+    if order == 2:
+        packed = by_id(katz.score(frame(spark, docs)))
+        assert all(got[i]["score"] == pytest.approx(r["score"], rel=1e-9) for i, r in packed.items())
+
+
+def test_katz_tables_on_odd_rows(spark):
+    from tolera.llm import katz_tables
+
+    assert Counter(r["doc_id"] for r in katz_tables.score(frame(spark, EDGES)).collect()) == Counter(i for i, _ in EDGES)
+    assert katz_tables.score(spark.createDataFrame([], SCHEMA)).count() == 0
