@@ -204,7 +204,8 @@ def pack(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity: int = CAPA
     slots = plan(total, capacity)
     named = docs.sparkSession.sparkContext.broadcast(slots)  # sets of lengths: bounded by the capacity
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")  # a row per bucket, not per piece
-    first = counted.select("bucket", "length", before.alias("before"))
+    # under names of their own: sides of a cogroup that come from one table must not share columns
+    first = counted.select(F.col("bucket").alias("slot"), F.col("length").alias("size"), before.alias("before"))
     arrow = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def place(own: pa.Table, first: pa.Table) -> pa.Table:
@@ -213,7 +214,7 @@ def pack(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity: int = CAPA
         own = own.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")])
         length = own.column("length").to_numpy()
         head = np.flatnonzero(np.concatenate(([True], length[1:] != length[:-1])))
-        base = dict(zip(first.column("length").to_pylist(), first.column("before").to_pylist(), strict=True))
+        base = dict(zip(first.column("size").to_pylist(), first.column("before").to_pylist(), strict=True))
         sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
         for a, z in zip(head.tolist(), [*head[1:].tolist(), len(length)], strict=True):
             start, number, at = named.value[int(length[a])]
@@ -223,4 +224,4 @@ def pack(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity: int = CAPA
         out = own.select(PIECES.names).cast(PIECES)
         return out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).cast(arrow)
 
-    return cut.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(place, PIECES_DDL + ", sequence_id long, offset long")
+    return cut.groupBy("bucket").cogroup(first.groupBy("slot")).applyInArrow(place, PIECES_DDL + ", sequence_id long, offset long")
