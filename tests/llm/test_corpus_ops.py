@@ -920,3 +920,30 @@ def test_katz_tables_on_odd_rows(spark):
 
     assert Counter(r["doc_id"] for r in katz_tables.score(frame(spark, EDGES)).collect()) == Counter(i for i, _ in EDGES)
     assert katz_tables.score(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("hub", [1024, 3])
+def test_components_of_stars_chains_and_hubs(spark, monkeypatch, hub):
+    from tolera.llm import graph
+
+    monkeypatch.setattr(graph, "HUB", hub)
+    r = random.Random(2)
+    edges = [(5, k) for k in range(1000, 1300)] + [(k, k + 1) for k in range(40, 80)] + [(r.randrange(2000, 2200), r.randrange(2000, 2200)) for _ in range(150)] + [(7, 7), (9, None), (1299, 5), (1100, 2000)]
+    parent = {x: x for e in edges for x in e if x is not None}
+    for _ in range(200):
+        for a, b in edges:
+            if b is not None:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    got = {x["node"]: x["root"] for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(parent[k] == v for k, v in got.items()) and {k for k in parent if k not in got} <= {7, 9}
+
+
+def test_hub_join(spark, monkeypatch):
+    from tolera.llm import graph
+
+    monkeypatch.setattr(graph, "HUB", 10)
+    big = spark.createDataFrame([(k % 5 if k % 3 else 77, k) for k in range(100)] + [(500, 1)], "key int, v int")
+    small = big.where("key <> 500").groupBy("key").agg(F.count("*").alias("_n")).withColumn("name", F.concat(F.lit("n"), F.col("key")))
+    for how in ("inner", "left"):
+        want = Counter(tuple(r) for r in big.join(small.drop("_n"), "key", how).select("key", "v", "name").collect())
+        assert Counter(tuple(r) for r in graph.hub_join(big, small, "key", 101, how=how).select("key", "v", "name").collect()) == want

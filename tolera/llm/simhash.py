@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tolera.llm import common as C
-from tolera.llm.graph import components, settle
+from tolera.llm.graph import components, hub_join, settle
 
 #: Distinct fingerprints of a cell that are compared in one task.
 CELL = 2048
@@ -235,12 +235,13 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
 def groups(docs: DataFrame, words: int = 3, cell: int = CELL) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach)."""
     fp = settle(fingerprints(docs, words))
-    first = fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    n = fp.count()
+    first = settle(fp.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")))
     roots = components(links(first.select("fp"), cell))
-    named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
-    return fp.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = settle(first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"), "_n"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_roots"))
+    of = hub_join(named, least, "root", n, "_roots").select("fp", "component_id", "_n")
+    return hub_join(fp, of, "fp", n).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # ---- wide fingerprints and sets of shingles for a similarity threshold -----------------------------------------
@@ -460,12 +461,14 @@ def rooted(docs: DataFrame, row: Column, words: int = 5, similarity: float = 0.8
     pairs = rest.where("cell = 0").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
     crowd = rest.where("cell != 0").select("cell", F.col("a").alias("node")).join(of, "node").groupBy("cell").applyInArrow(within_cell, "a long, b long")
     roots = components(sure.unionByName(verified(pairs)).unionByName(crowd))
-    return fp.select("doc_id", "row", "node").join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root"))
+    sized = fp.groupBy("node").agg(F.count("*").alias("_n")).join(roots, "node", "left")
+    joined = hub_join(fp.select("doc_id", "row", "node"), sized, "node", fp.count(), how="left")
+    return joined.select("doc_id", "row", F.coalesce("root", "node").alias("root"))
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: documents grouped by links of at least this Jaccard similarity of their sets of distinct word
     shingles (see ``rooted``); the group's smallest doc_id names it.  Wordless texts are equal."""
     rows = settle(rooted(docs, F.lit(0).cast("long"), words, similarity))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", "component_id")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n"))
+    return hub_join(rows, least, "root", rows.count()).select("doc_id", "component_id")
