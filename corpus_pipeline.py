@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tolera.llm import packing, quality, rules, simhash, substring
 from tolera.llm.common import table
-from tolera.llm.graph import settle
+from tolera.llm.graph import hub_join, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,8 +34,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     docs = docs.select(*COLUMNS)
     rows = simhash.rooted(docs, _row(), words=5, similarity=0.8).groupBy("row").agg(F.min("root").alias("root"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     rows = settle(rows)
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("best"))
-    marks = settle(rows.join(best, "root").select(F.col("row").alias("_row"), (F.col("row") != F.col("best")).alias("_gone"), "n").where("_gone or n > 1"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("best"), F.count("*").alias("_n"))
+    marks = settle(hub_join(rows, best, "root", rows.count()).select(F.col("row").alias("_row"), (F.col("row") != F.col("best")).alias("_gone"), "n").where("_gone or n > 1"))
     named = docs.withColumn("_row", _row())
     once = named.join(marks.select("_row"), "_row", "left_anti").select(*COLUMNS)
     repeated = named.join(marks.where("not _gone").select("_row"), "_row", "left_semi").select(*COLUMNS).dropDuplicates()
