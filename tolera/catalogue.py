@@ -126,7 +126,7 @@ _QOIS = {
     "variables": ('v["a"] = [x, 2*x, 3]; v["m"] = matmul([v["a"]], [[1], [2], [x]]); return v["m"][0, 0] + sum(v["a"]) / size(v["a"]);', "x+2*(2*x)+3*x+(x+2*x+3)/3"),
 }
 for _name, (_text, _sql) in _QOIS.items():
-    query(f"qoi_{_name}", f"select event_id, round({_sql}, 7) + 0.0 qoi from {_SERIES}")(lambda s, d, t=_text: series(s, d).select("event_id", (F.round(api.quantity(t), 7) + 0.0).alias("qoi")))
+    query(f"qoi_{_name}", f"select event_id, round(cast({_sql} as double), 7) + cast(0 as double) qoi from {_SERIES}")(lambda s, d, t=_text: series(s, d).select("event_id", (F.round(api.quantity(t), 7) + 0.0).alias("qoi")))
 # the isinf of the text above is of NaN or infinity: SQL spells it out
 _SQL["qoi_classify_where"] = _SQL["qoi_classify_where"].replace("then 1.0 else (", "then 1.0 + (case when isinf(1/(x-x)) then 1.0 else 0.0 end) else (")
 
