@@ -42,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the ten is expressible: fingerprints by a seeded hash, fitted models, tokenisers, packing, searches.
-    tests/llm holds each against a brute-force version."""
+    """None of the ten results as a whole: fingerprints by a seeded hash, fitted models, tokenisers, packing, searches.  (The
+    base columns of op5 and op8 could be said in SQL, but the models' verdicts stand beside them.)  tests/llm holds each
+    against a brute-force version."""
     return {}
