@@ -417,7 +417,7 @@ class _Many(Guard):
 
     def __post_init__(self) -> None:
         if not self.guards:
-            raise GuardError(f"{self.kind}.safeguards: at least one is needed")
+            raise GuardError(f"{self.kind}.guards: at least one is needed")
 
     def late(self) -> set[str]:
         return set().union(*(g.late() for g in self.guards))
