@@ -98,6 +98,22 @@ def test_tables_of_encoded_arrays(spark):
         assert np.abs(got - v).max() <= 0.01
 
 
+@pytest.mark.parametrize("guard", [Stencil("X[1] - X[0]", [Axis(0, 0, 1, "valid")], "abs", 0.02), Stencil("X[0] + X[2]", [Axis(0, 1, 1, "wrap")], "abs", 0.05), Quantity('x / c["$x_max"]', "abs", 0.001)])
+def test_arrays_in_chunks(spark, guard):
+    """No task holds an array, and windows that cross chunks keep their bounds."""
+    rng = np.random.default_rng(3)
+    x = {"a": rng.uniform(0, 30, 57), "b": rng.uniform(0, 9, 20)}
+    parts = [arrays.elements(spark, v).withColumn("name", F.lit(k)) for k, v in x.items()]
+    guards = Guards([ErrorBound("abs", 0.2), guard])
+    meta = codec.Guarded(codec.Rounded(0.5), guards)
+    coded = codec.encode_arrays(parts[0].unionByName(parts[1]).drop("p"), meta, ["name"], ["i0"], sides=[10])
+    assert sorted((r["name"], r["first"], r["shape"]) for r in coded.collect()) == [*[("a", [i], [min(10, 57 - i)]) for i in range(0, 57, 10)], ("b", [0], [10]), ("b", [10], [10])]
+    back = codec.decode_arrays(coded, meta, ["name"], "float64", ["i0"])
+    for k, v in x.items():
+        got = arrays.array_of(back.where(F.col("name") == k), ["i0"], "x_hat")
+        assert guards.check_array(v, got).all() and (got != v).any()
+
+
 # ---- datasets -----------------------------------------------------------------------------------------------------
 
 

@@ -114,8 +114,10 @@ class Area:
 
     def put(self, name: str, data: np.ndarray) -> None:
         """Values of the whole array, laid out around the core (periodic copies included)."""
-        take = np.ix_(*[self.places(k) % n for k, n in enumerate(self.shape)])
-        self.values[name] = data[take]
+        self.values[name] = self.cut(data)
+
+    def cut(self, data: np.ndarray) -> np.ndarray:
+        return data[np.ix_(*[self.places(k) % n for k, n in enumerate(self.shape)])]
 
     # ---- reading windows
 

@@ -2,7 +2,7 @@
 
 A value is framed as ULEB128(bytes of the correction), the inner codec's payload, the packed correction; an array that the
 inner codec keeps within its guards costs one byte more.  ``encode`` and ``decode`` work on single arrays,
-``encode_arrays`` and ``decode_arrays`` on tables that hold many: one task per array.
+``encode_arrays`` and ``decode_arrays`` on tables that hold many: one task per array, or per chunk of an array.
 
 Codecs are named in a registry (``register``, ``get``), so a configuration can be read back.
 """
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 
 from tolera.api import Guards
 from tolera.functions import kinds
-from tolera.operators.correct import added, numbers
+from tolera.operators import tiles
+from tolera.operators.correct import added, difference, numbers
 from tolera.operators.guards import GuardError
 from tolera.sources.bindings import from_json, to_json
 
@@ -195,6 +196,21 @@ class Guarded:
         packed = pack(correction) if correction.any() else b""
         return uleb128(len(packed)) + payload + packed
 
+    def encode_chunk(self, area: tiles.Area) -> bytes:
+        """A chunk with its halo (``x``, and the array's range if asked for).  Others' predictions aren't known here, so each
+        element takes a safe value: then all windows pass, those that cross chunks too."""
+        area.values |= {k: area.cut(np.broadcast_to(np.asarray(v, np.float64), area.shape)) for k, v in self.constants.items()}
+        if missing := self.guards.late_bound() - set(area.values):
+            raise GuardError(f"late_bound: missing {sorted(missing)}")
+        x = np.ascontiguousarray(area.values["x"][area.inner()])
+        payload = self.codec.encode(x)
+        p = np.ascontiguousarray(self.codec.decode(payload, x.dtype.name, x.shape))
+        area.values["p"] = np.zeros(area.size, x.dtype)
+        area.values["p"][area.inner()] = p
+        correction = difference(np.ascontiguousarray(area.corrected(self.guards.root)), p)
+        packed = pack(correction) if correction.any() else b""
+        return uleb128(len(packed)) + payload + packed
+
     def decode(self, data: bytes, kind: str, shape: tuple[int, ...]) -> np.ndarray:
         size, at = read_uleb128(data)
         end = len(data) - size
@@ -208,13 +224,24 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data)
 
 
-def encode_arrays(df: DataFrame, codec: Guarded, by: Sequence[str], index: Sequence[str], x: str = "x") -> DataFrame:
-    """by, shape, kind, data: one row per array, each encoded by one task.  Arrays have to fit a task; cut larger ones into
-    chunks of their own with another column in ``by``."""
+def encode_arrays(df: DataFrame, codec: Guarded, by: Sequence[str], index: Sequence[str], x: str = "x", sides: Sequence[int] | None = None) -> DataFrame:
+    """by, shape, kind, data: one row per array, each encoded by one task, which it has to fit.
+
+    sides: lengths of chunks along each axis.  Then there is a row per chunk, with its ``first`` place on each axis, and a task
+    holds a chunk and its halo, whatever the array's size; windows that cross chunks keep their guards as well."""
     kind, config = kinds.kind_of(df.schema[x]), codec.config()
+    from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    schema = T.StructType([*df.select(*by).schema.fields, T.StructField("shape", T.ArrayType(T.LongType())), T.StructField("kind", T.StringType()), T.StructField("data", T.BinaryType())])
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([*df.select(*by).schema.fields, *([T.StructField("first", longs)] if sides else []), T.StructField("shape", longs), T.StructField("kind", T.StringType()), T.StructField("data", T.BinaryType())])
+
+    def row(table: pa.Table, **more: Any) -> pa.Table:
+        out = table.select(list(by)).slice(0, 1)
+        types = {"first": pa.list_(pa.int64()), "shape": pa.list_(pa.int64()), "kind": pa.string(), "data": pa.binary()}
+        for name, value in more.items():
+            out = out.append_column(name, pa.array([value], types[name]))
+        return out
 
     def run(table: pa.Table) -> pa.Table:
         at = [table.column(c).to_numpy() for c in index]
@@ -223,21 +250,36 @@ def encode_arrays(df: DataFrame, codec: Guarded, by: Sequence[str], index: Seque
             raise ValueError("elements are missing or repeated")
         data = np.empty(shape, kind)
         data[tuple(at)] = numbers(table.column(x), kind, x)
-        first = table.select(list(by)).slice(0, 1)
-        for name, value, type_ in (("shape", list(shape), pa.list_(pa.int64())), ("kind", kind, pa.string()), ("data", get(config).encode(data), pa.binary())):
-            first = first.append_column(name, pa.array([value], type_))
-        return first
+        return row(table, shape=list(shape), kind=kind, data=get(config).encode(data))
+
+    if not sides:
+        return df.select(*by, *index, x).groupBy(*by).applyInArrow(run, schema)
+    root = codec.guards.root
+    if places := sorted(n for n in codec.guards.builtin_late_bound() if n.startswith("$d_")):
+        raise GuardError(f"late_bound: arrays have no coordinates ({places})")
+    side = tiles.sides_for(len(index), tiles.reaches(root, len(index)), sides, tiles.TILE)
+    rows, read = df.select(*by, *index, x), {"x": x}
+    if codec.guards.builtin_late_bound() & {"$x_min", "$x_max"}:
+        plain = F.when(~F.isnan(x), F.col(x)) if np.dtype(kind).kind == "f" else F.col(x)
+        ends = {"$x_min": F.min(plain), "$x_max": F.max(plain)}
+        found = rows.groupBy(*by).agg(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_{k[1:]}") for k, c in ends.items()])
+        rows, read = rows.join(F.broadcast(found), list(by)) if by else rows.crossJoin(F.broadcast(found)), read | {k: f"_{k[1:]}" for k in ends}
+
+    def chunk(table: pa.Table) -> pa.Table:
+        area, _ = tiles.area_of(table, root, side, read, kind)
+        return row(table, first=list(area.first), shape=list(area.core), kind=kind, data=get(config).encode_chunk(area))
 
-    return df.select(*by, *index, x).groupBy(*by).applyInArrow(run, schema)
+    return tiles.deal(tiles.with_shape(rows, index, None, by), root, index, side).groupBy(*by, "_tile").applyInArrow(chunk, schema)
 
 
 def decode_arrays(df: DataFrame, codec: Guarded, by: Sequence[str], kind: str, index: Sequence[str], x: str = "x_hat") -> DataFrame:
-    """by, index, x of the arrays of ``encode_arrays`` (all of one kind)."""
+    """by, index, x of the arrays (or their chunks) of ``encode_arrays`` (all of one kind)."""
     from pyspark.sql import types as T
 
     from tolera.operators.correct import as_arrow
 
     config = codec.config()
+    first = ["first"] if "first" in df.columns and "first" not in by else []
     schema = T.StructType([*df.select(*by).schema.fields, *[T.StructField(c, T.LongType()) for c in index], T.StructField(x, kinds.STORAGE[kind])])
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -248,7 +290,9 @@ def decode_arrays(df: DataFrame, codec: Guarded, by: Sequence[str], kind: str, i
                     raise kinds.KindError(f"an array of {own}, not {kind}")
                 data = get(config).decode(b.column("data")[i].as_py(), kind, shape)
                 places = np.indices(shape).reshape(len(shape), -1).astype(np.int64)
+                if first:
+                    places += np.array(b.column("first")[i].as_py(), np.int64)[:, None]
                 rows = pa.array(np.full(data.size, i, np.int64))
                 yield pa.record_batch([*[b.column(c).take(rows) for c in by], *[pa.array(p) for p in places], as_arrow(data.ravel(), kind)], names=[*by, *index, x])
 
-    return df.select(*by, "shape", "kind", "data").mapInArrow(run, schema).withMetadata(x, kinds.field_for(x, kind).metadata)
+    return df.select(*by, *first, "shape", "kind", "data").mapInArrow(run, schema).withMetadata(x, kinds.field_for(x, kind).metadata)
