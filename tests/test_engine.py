@@ -1,6 +1,8 @@
+import gc
 import json
 import math
 import os
+import weakref
 
 import numpy as np
 import pytest
@@ -34,6 +36,20 @@ def test_rejected_quantities(text):
         qoi.parse(text)
 
 
+def test_a_quantity_keeps_no_arrays():
+    """Without a collection of cycles, which may come many tiles later."""
+    node, x = qoi.parse("x + ln(x)"), np.ones(3)
+    alive = weakref.ref(x)
+    gc.collect()
+    gc.disable()
+    try:
+        qoi.evaluate(node, NUMPY, lambda at, x=x: x, None)
+        del x
+        assert alive() is None
+    finally:
+        gc.enable()
+
+
 def test_finite_difference_weights():
     def w(order, accuracy, kind, reach):
         n = qoi.parse(f"finite_difference(x, order={order}, accuracy={accuracy}, type={kind}, axis=0, grid_spacing=1)", [reach])
